@@ -1,0 +1,86 @@
+"""Inner products of all feature pairs as a blocked matrix product.
+
+A group of F features and N observations is cut into blocks of features and chunks
+of observations. Each block is packed once into a dense matrix, sent to the block
+pairs it belongs to, and multiplied there. Task memory depends on the block sizes
+alone; partial products are summed by Spark.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+BLOCK = 256  # features per block
+CHUNK = 1024  # observations per chunk
+_CHUNKS_PER_TASK = 8
+
+
+def gram(cells: DataFrame) -> DataFrame:
+    """``g, a, b, dot`` for all rows a < b of every group.
+
+    ``cells`` holds ``g`` (group), ``r`` (row index from 0), ``nf`` (rows in the
+    group), ``chunk`` and ``pos`` (observation chunk, and place below ``CHUNK`` in it)
+    and ``v``; absent cells are zero."""
+    group_type = cells.schema["g"].dataType.simpleString()
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        row = pdf["r"].to_numpy() % BLOCK
+        pos = pdf["pos"].to_numpy()
+        dense = np.zeros((BLOCK, pos.max() + 1))
+        dense[row, pos] = pdf["v"].to_numpy()
+        head = pdf.iloc[[0]][["g", "bi", "chunk", "nf"]]
+        return head.assign(width=dense.shape[1], mat=[dense.tobytes()])
+
+    packed = (
+        cells.withColumn("bi", F.floor(F.col("r") / BLOCK).cast("int"))
+        .groupBy("g", "bi", "chunk")
+        .applyInPandas(pack, f"g {group_type}, bi int, chunk int, nf int, width int, mat binary")
+    )
+    blocks = F.ceil(F.col("nf") / BLOCK).cast("int")
+    placed = (
+        packed.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        .withColumn("p", F.least("bi", "other"))
+        .withColumn("q", F.greatest("bi", "other"))
+        .withColumn("part", F.floor(F.col("chunk") / _CHUNKS_PER_TASK).cast("int"))
+    )
+
+    def multiply(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        p, q, nf = int(first["p"]), int(first["q"]), int(first["nf"])
+        total = np.zeros((BLOCK, BLOCK))
+        mats: dict[tuple[int, int], np.ndarray] = {}
+        for bi, chunk, width, raw in zip(pdf["bi"], pdf["chunk"], pdf["width"], pdf["mat"]):
+            mats[int(bi), int(chunk)] = np.frombuffer(raw).reshape(BLOCK, width)
+        for (bi, chunk), left in mats.items():
+            if bi == p and (q, chunk) in mats:
+                right = mats[q, chunk]
+                width = min(left.shape[1], right.shape[1])
+                total += left[:, :width] @ right[:, :width].T
+        a = np.arange(p * BLOCK, min((p + 1) * BLOCK, nf))
+        b = np.arange(q * BLOCK, min((q + 1) * BLOCK, nf))
+        left, right = np.meshgrid(a, b, indexing="ij")
+        upper = left < right
+        return pd.DataFrame(
+            {
+                "g": first["g"],
+                "a": left[upper].astype(np.int32),
+                "b": right[upper].astype(np.int32),
+                "dot": total[: len(a), : len(b)][upper],
+            }
+        )
+
+    products = placed.groupBy("g", "p", "q", "part").applyInPandas(
+        multiply, f"g {group_type}, a int, b int, dot double"
+    )
+    return products.groupBy("g", "a", "b").agg(F.sum("dot").alias("dot"))
+
+
+def both_ways(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Each pair a < b also as b, a."""
+    ends = F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j")), F.struct(F.col("b").alias("i"), F.col("a").alias("j")))
+    return pairs.select("g", F.inline(ends), *columns)
