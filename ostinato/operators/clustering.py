@@ -58,24 +58,63 @@ def average_linkage(distance: np.ndarray) -> np.ndarray:
     return merges
 
 
-def _merge_local(pairs: DataFrame) -> DataFrame:
+def cut_labels(merges: np.ndarray, n: int, height: float) -> np.ndarray:
+    """Smallest member of the cluster of each item when merges up to ``height`` apply."""
+    owner = np.arange(n)
+    for into, gone in merges[merges[:, 2] <= height, :2].astype(int):
+        owner[gone] = into
+    # follow the absorbing clusters; each is a smaller number, so an ascending pass settles all
+    for i in range(n):
+        owner[i] = owner[owner[i]]
+    return owner
+
+
+def flat_clusters(distance: np.ndarray, min_size: int, cut: float | None, heights: Sequence[float] = CUT_HEIGHTS) -> np.ndarray:
+    """Labels of a full distance matrix at ``cut``, or at the first of ``heights`` that has
+    the most clusters of ``min_size`` items."""
+    n = len(distance)
+    merges = average_linkage(distance)
+
+    def usable(height: float) -> int:
+        return int(np.sum(np.bincount(cut_labels(merges, n, height)) >= max(min_size, 1)))
+
+    if cut is None:
+        cut = max(heights, key=usable)
+    return cut_labels(merges, n, cut)
+
+
+def _clusters_local(pairs: DataFrame, min_size: int, cut: float | None) -> DataFrame:
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         items = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]))
         a, b = np.searchsorted(items, pdf["a"]), np.searchsorted(items, pdf["b"])
         full = np.zeros((len(items), len(items)))
         full[a, b] = full[b, a] = pdf["d"].to_numpy()
-        merges = average_linkage(full)
-        return pd.DataFrame(
-            {
-                "g": pdf["g"].iloc[0],
-                "into": items[merges[:, 0].astype(int)],
-                "gone": items[merges[:, 1].astype(int)],
-                "height": merges[:, 2],
-                "size": merges[:, 3].astype(int),
-            }
-        )
-
-    return pairs.groupBy("g").applyInPandas(cluster, _MERGE.format(g=pairs.schema["g"].dataType.simpleString()))
+        labels = flat_clusters(full, min_size, cut)
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "r": items, "cluster": items[labels]})
+
+    return pairs.groupBy("g").applyInPandas(cluster, f"g {pairs.schema['g'].dataType.simpleString()}, r int, cluster int")
+
+
+def clusters(
+    pairs: DataFrame, items: DataFrame, min_size: int, cut: float | None = None, local_items: int = LOCAL_ITEMS
+) -> DataFrame:
+    """``g, r, cluster`` for the items ``g, r`` of all groups; a cluster is named by its
+    smallest item. ``pairs`` holds ``g, a, b, d`` for all a < b. Without a ``cut`` each
+    group takes the grid height with the most clusters of ``min_size`` items."""
+    sizes = items.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= local_items:
+        found = _clusters_local(pairs, min_size, cut)
+    else:
+        sizes = materialise(sizes)
+        small = sizes.where(F.col("n") <= local_items).select("g")
+        merges = materialise(_merge_rounds(pairs.join(small, "g", "left_anti")))
+        at = best_cut(merges, min_size) if cut is None else sizes.select("g", F.lit(float(cut)).alias("cut"))
+        far = cut_tree(merges, items.select("g", "r").join(small, "g", "left_anti"), at)
+        near = _clusters_local(pairs.join(small, "g", "left_semi"), min_size, cut)
+        found = near.unionByName(far)
+    return items.select("g", "r").join(found, ["g", "r"], "left").select(
+        "g", "r", F.coalesce("cluster", "r").alias("cluster")
+    )
 
 
 def _merge_rounds(pairs: DataFrame) -> DataFrame:
@@ -124,22 +163,13 @@ def _merge_rounds(pairs: DataFrame) -> DataFrame:
     return merges
 
 
-def linkage(pairs: DataFrame, sizes: DataFrame, local_items: int = LOCAL_ITEMS) -> DataFrame:
-    """``g, into, gone, height, size``: the merges of every group of ``pairs`` (``g, a,
-    b, d`` for all a < b). ``sizes`` holds ``g, n``, the items per group."""
-    small = sizes.where(F.col("n") <= local_items).select("g")
-    if sizes.where(F.col("n") > local_items).isEmpty():
-        return materialise(_merge_local(pairs))
-    near = _merge_local(pairs.join(small, "g", "left_semi"))
-    far = _merge_rounds(pairs.join(small, "g", "left_anti"))
-    return materialise(near.unionByName(far))
-
-
 def best_cut(merges: DataFrame, min_size: int, heights: Sequence[float] = CUT_HEIGHTS) -> DataFrame:
     """``g, cut``: the first height with the most clusters of at least ``min_size`` items.
 
     A cluster exists from its merge until the next merge of its number, or until it is
     absorbed; the clusters of a height are those whose span covers it."""
+    if min_size <= 1:  # every item counts, so the lowest height has the most
+        return merges.select("g").distinct().select("g", F.lit(float(heights[0])).alias("cut"))
     events = merges.select("g", F.col("into").alias("c"), "height", "size")
     starts = Window.partitionBy("g", "c").orderBy("height", "size")
     absorbed = merges.select("g", F.col("gone").alias("c"), F.col("height").alias("_absorbed"))

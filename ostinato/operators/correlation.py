@@ -76,7 +76,6 @@ def feature_matrix(
     stats = scored.groupBy("g", "feature").agg(
         F.var_pop("z").alias("_var"), F.sum("z").alias("total"), F.sum(F.col("z") * F.col("z")).alias("squares")
     )
-    stats = materialise(stats)
     kept = stats.where(F.col("_var") > 0)
     in_group = Window.partitionBy("g")
     features = materialise(
@@ -221,6 +220,8 @@ def redundant_features(corr: DataFrame, threshold: float = 0.99) -> DataFrame:
     representative and claims its later near-duplicates. Each round settles every
     feature whose earlier near-duplicates are settled, in all groups at once."""
     near = materialise(corr.where(F.abs("r") > threshold).select("g", "a", "b"))
+    if near.isEmpty():
+        return near.select("g", F.col("b").alias("r"), F.col("a").alias("representative"))
     open_pairs, claimed = near, near.select("g", F.col("b").alias("r")).limit(0)
     while not open_pairs.isEmpty():
         later = open_pairs.select("g", F.col("b").alias("a")).distinct()

@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .clustering import LOCAL_ITEMS, best_cut, cut_tree, linkage, number_clusters
-from .correlation import FeatureMatrix, correlation
+from .clustering import LOCAL_ITEMS, clusters, number_clusters
+from .correlation import FeatureMatrix
 from .gram import CHUNK, both_ways, gram
 
 _EPS = 2.220446049250313e-16
@@ -103,14 +103,8 @@ def detect_modules(
     """``g, r, module`` by average linkage on 1 - overlap; module 0 holds features of
     clusters below ``min_module_size``. Without a ``cut_height`` the first of a grid that
     gives the most modules is taken per group."""
-    sizes = materialise(features.groupBy("g").agg(F.count(F.lit(1)).alias("n")))
     pairs = tom.select("g", "a", "b", (1 - F.col("tom")).alias("d"))
-    merges = linkage(pairs, sizes, local_items)
-    if cut_height is None:
-        cut = best_cut(merges, min_module_size)
-    else:
-        cut = sizes.select("g", F.lit(float(cut_height)).alias("cut"))
-    labels = cut_tree(merges, features.select("g", "r"), cut)
+    labels = clusters(pairs, features, min_module_size, cut_height, local_items)
     return materialise(number_clusters(labels, min_module_size))
 
 
@@ -122,7 +116,7 @@ def module_loadings(cov: DataFrame, spread: DataFrame, modules: DataFrame, local
     its eigenvalue and ``explained`` its share of the trace. Modules of up to
     ``local_items`` features are solved one per task, larger ones by power iteration."""
     member = modules.where(F.col("module") > 0)
-    sizes = materialise(member.groupBy("g", "module").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    sizes = member.groupBy("g", "module").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     member = member.join(sizes, ["g", "module"])
     a = member.select("g", F.col("r").alias("a"), "module", "n")
     b = member.select("g", F.col("r").alias("b"), F.col("module").alias("_mb"))
@@ -131,7 +125,7 @@ def module_loadings(cov: DataFrame, spread: DataFrame, modules: DataFrame, local
     own = member.join(spread, ["g", "r"]).select(
         "g", "module", "n", F.col("r").alias("a"), F.col("r").alias("b"), F.col("spread").alias("cov")
     )
-    entries = materialise(inner.unionByName(own))
+    entries = inner.unionByName(own)
     schema = f"g {cov.schema['g'].dataType.simpleString()}, module int, r int, loading double, scale double, explained double"
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -154,13 +148,14 @@ def module_loadings(cov: DataFrame, spread: DataFrame, modules: DataFrame, local
             }
         )
 
+    if (sizes.agg(F.max("n")).first()[0] or 0) <= local_items:
+        return materialise(entries.groupBy("g", "module").applyInPandas(solve, schema))
+    entries = materialise(entries)
     small = entries.where(F.col("n") <= local_items).groupBy("g", "module").applyInPandas(solve, schema)
-    if sizes.where(F.col("n") > local_items).isEmpty():
-        return materialise(small)
-    return materialise(small.unionByName(_power_iteration(entries.where(F.col("n") > local_items), schema)))
+    return materialise(small.unionByName(_power_iteration(entries.where(F.col("n") > local_items))))
 
 
-def _power_iteration(entries: DataFrame, schema: str, tolerance: float = 1e-12, rounds: int = 5000) -> DataFrame:
+def _power_iteration(entries: DataFrame, tolerance: float = 1e-12, rounds: int = 5000) -> DataFrame:
     keys = ["g", "module"]
     mirrored = F.when(
         F.col("a") != F.col("b"),
@@ -214,31 +209,32 @@ def eigengenes(matrix: FeatureMatrix, loadings: DataFrame) -> DataFrame:
     )
 
 
-def merge_modules(matrix: FeatureMatrix, cov: DataFrame, spread: DataFrame, modules: DataFrame, merge_cut: float = 0.75, local_items: int = LOCAL_ITEMS) -> DataFrame:
+def merge_modules(
+    cov: DataFrame, loadings: DataFrame, modules: DataFrame, merge_cut: float = 0.75, local_items: int = LOCAL_ITEMS
+) -> DataFrame:
     """Join modules whose eigengenes correlate, positively or negatively: average linkage
-    on 1 - |r|, cut at 1 - ``merge_cut``. Groups with fewer than two modules stay as they are."""
-    loadings = module_loadings(cov, spread, modules, local_items)
-    scores = materialise(eigengenes(matrix, loadings))
-    index = Window.partitionBy("g").orderBy("module")
-    listed = loadings.select("g", "module").distinct().select(
-        "g", "module", (F.row_number().over(index) - 1).alias("r")
-    )
-    counts = materialise(listed.groupBy("g").agg(F.count(F.lit(1)).cast("int").alias("nf")).where(F.col("nf") > 1))
-    if counts.isEmpty():
+    on 1 - |r|, cut at 1 - ``merge_cut``. Two eigengenes' product is the covariance of
+    their members weighted by both loadings, so no eigengene has to be formed."""
+    weights = loadings.select("g", "module", "r", "loading", "scale")
+    a = weights.select("g", F.col("r").alias("a"), F.col("module").alias("_ma"), F.col("loading").alias("_ua"), F.col("scale").alias("_sa"))
+    b = weights.select("g", F.col("r").alias("b"), F.col("module").alias("_mb"), F.col("loading").alias("_ub"), F.col("scale").alias("_sb"))
+    product = F.col("_ua") * F.col("_ub") * F.col("cov") / F.sqrt(F.col("_sa") * F.col("_sb"))
+    pairs = materialise(
+        cov.join(a, ["g", "a"])
+        .join(b, ["g", "b"])
+        .where((F.col("_ma") != F.col("_mb")) & (F.col("_sa") > 0) & (F.col("_sb") > 0))
+        .groupBy("g", F.least("_ma", "_mb").alias("a"), F.greatest("_ma", "_mb").alias("b"))
+        .agg((1 - F.abs(F.sum(product))).alias("d"))
+    )
+    if pairs.isEmpty():
         return modules
-    listed = materialise(listed.join(counts, "g"))
-    cells = scores.join(listed, ["g", "module"]).select("g", "r", "nf", "chunk", "pos", F.col("score").alias("v"))
-    sums = cells.groupBy("g", "r").agg(F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("squares"))
-    grouped = FeatureMatrix(materialise(cells), materialise(sums), matrix.observations, matrix.sizes, matrix.dropped)
-    pairs = correlation(grouped).select("g", "a", "b", (1 - F.abs("r")).alias("d"))
-    merges = linkage(pairs, counts.withColumnRenamed("nf", "n"), local_items)
-    cut = counts.select("g", F.lit(1.0 - merge_cut).alias("cut"))
-    together = cut_tree(merges, listed.select("g", "r"), cut)
-    target = together.join(listed, ["g", "r"]).select("g", "module", F.col("cluster").alias("_to"))
-    joined = modules.join(target, ["g", "module"], "left")
-    merged = joined.select("g", "r", F.when(F.col("module") > 0, F.coalesce(F.col("_to") + 1, F.col("module"))).otherwise(0).alias("cluster"))
+    listed = loadings.select("g", F.col("module").alias("r")).distinct()
+    target = clusters(pairs, listed, 1, 1.0 - merge_cut, local_items).select("g", F.col("r").alias("module"), "cluster")
+    merged = modules.join(target, ["g", "module"], "left").select(
+        "g", "r", F.when(F.col("module") > 0, F.coalesce("cluster", "module")).alias("cluster")
+    )
     # consecutive numbers again, by the first feature of each module
-    first = merged.where(F.col("cluster") > 0).groupBy("g", "cluster").agg(F.min("r").alias("_first"))
+    first = merged.where(F.col("cluster").isNotNull()).groupBy("g", "cluster").agg(F.min("r").alias("_first"))
     numbered = first.select("g", "cluster", F.row_number().over(Window.partitionBy("g").orderBy("_first")).alias("_n"))
     return materialise(
         merged.join(numbered, ["g", "cluster"], "left").select("g", "r", F.coalesce("_n", F.lit(0)).alias("module"))

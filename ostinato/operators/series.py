@@ -96,3 +96,16 @@ class Detector(ABC):
                 yield out
 
         return packed.mapInPandas(run, schema)
+
+
+def map_series(df: DataFrame, keys: Sequence[str], time_col: str, value_col: str, function, out: str) -> DataFrame:
+    """One number per series, computed from its times and values."""
+    packed = pack_series(df, keys, time_col, value_col)
+    fields = [f for f in packed.schema.fields if f.name in keys]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            numbers = [float(function(t, v)) for t, v in zip(batch["_t"], batch["_v"])]
+            yield batch[list(keys)].assign(**{out: numbers})
+
+    return packed.mapInPandas(run, StructType([*fields, StructField(out, DoubleType())]))

@@ -88,11 +88,14 @@ class NetworkAnalyzer:
             named = dataset.withColumn("_g", F.col(well_col).cast("string"))
         matrix = feature_matrix(named, "_g", well_col, timepoint_col, feature_col, value_col)
         cov = materialise(covariance(matrix))
-        spread = materialise(row_spread(matrix))
-        corr = materialise(correlation(matrix, self.correlation_method, cov))
-        redundant = materialise(redundant_features(corr, self.redundancy_threshold))
+        spread = row_spread(matrix)
+        corr = correlation(matrix, self.correlation_method, cov)
+        if self.correlation_method != "pearson":
+            corr = materialise(corr)
+        redundant = redundant_features(corr, self.redundancy_threshold)
         features, kept = matrix.features.select("g", "r", "feature"), corr
         if not redundant.isEmpty():
+            redundant = materialise(redundant)
             gone = redundant.select("g", "r")
             features = materialise(features.join(gone, ["g", "r"], "left_anti"))
             for end in ("a", "b"):
@@ -124,10 +127,11 @@ class NetworkAnalyzer:
         adj = materialise(net.adjacency(assembled.corr, self.soft_power, self.signed))
         tom = materialise(net.topological_overlap(adj, features))
         modules = net.detect_modules(tom, features, self.min_module_size)
-        modules = net.merge_modules(
-            assembled.matrix, assembled.cov, assembled.spread, modules, self.merge_cut_height
-        )
         loadings = net.module_loadings(assembled.cov, assembled.spread, modules)
+        merged = net.merge_modules(assembled.cov, loadings, modules, self.merge_cut_height)
+        if merged is not modules:
+            modules = merged
+            loadings = net.module_loadings(assembled.cov, assembled.spread, modules)
         membership = net.module_membership(loadings, assembled.spread, modules)
         scores = net.eigengenes(assembled.matrix, loadings)
         group = F.col("g").alias("group_key")
