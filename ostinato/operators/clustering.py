@@ -9,6 +9,7 @@ average linkage both give the same tree.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -117,15 +118,20 @@ def clusters(
     )
 
 
+def _union(frames: Sequence[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames)
+
+
 def _merge_rounds(pairs: DataFrame) -> DataFrame:
     """The same merges by rounds of mutual nearest neighbours; ``s`` sums item distances."""
     open_pairs = materialise(pairs.select("g", "a", "b", F.col("d").alias("s"), F.lit(1).alias("na"), F.lit(1).alias("nb")))
-    merges = None
+    rounds: list[DataFrame] = []
     while not open_pairs.isEmpty():
-        d = F.col("s") / (F.col("na") * F.col("nb").cast("double"))
-        ends = F.array(F.col("a"), F.col("b"))
-        edge = F.struct(d.alias("d"), "a", "b", "na", "nb")
-        nearest = open_pairs.select("g", F.explode(ends).alias("c"), edge.alias("e")).groupBy("g", "c").agg(F.min("e").alias("e"))
+        edges = open_pairs.select(
+            "g", F.struct((F.col("s") / (F.col("na") * F.col("nb").cast("double"))).alias("d"), "a", "b", "na", "nb").alias("e")
+        )
+        ends = edges.select("g", F.explode(F.array("e.a", "e.b")).alias("c"), "e")
+        nearest = ends.groupBy("g", "c").agg(F.min("e").alias("e"))
         mutual = nearest.groupBy("g", "e").count().where(F.col("count") == 2)
         found = materialise(
             mutual.select(
@@ -136,7 +142,9 @@ def _merge_rounds(pairs: DataFrame) -> DataFrame:
                 (F.col("e.na") + F.col("e.nb")).alias("size"),
             )
         )
-        merges = found if merges is None else materialise(merges.unionByName(found))
+        rounds.append(found)
+        if len(rounds) > 20:  # keep the final union short
+            rounds = [materialise(_union(rounds))]
         # each cluster under its new number and size
         moved = found.select("g", "size", F.col("into").alias("to"), F.explode(F.array("into", "gone")).alias("c"))
         renamed = open_pairs
@@ -158,9 +166,9 @@ def _merge_rounds(pairs: DataFrame) -> DataFrame:
             .groupBy("g", "a", "b")
             .agg(F.sum("s").alias("s"), F.first("na").alias("na"), F.first("nb").alias("nb"))
         )
-    if merges is None:
+    if not rounds:
         return pairs.sparkSession.createDataFrame([], _MERGE.format(g=pairs.schema["g"].dataType.simpleString()))
-    return merges
+    return _union(rounds)
 
 
 def best_cut(merges: DataFrame, min_size: int, heights: Sequence[float] = CUT_HEIGHTS) -> DataFrame:
