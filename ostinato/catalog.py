@@ -86,7 +86,8 @@ def detrended(spark: SparkSession, folder: str) -> DataFrame:
 
 def daily_users(spark: SparkSession, folder: str) -> DataFrame:
     day = F.datediff("ts", F.lit("2024-01-01").cast("date"))
-    return table(spark, folder, "events").groupBy("user_id", day.alias("day")).agg(F.avg("value").alias("mean"))
+    daily = table(spark, folder, "events").groupBy("user_id", day.alias("day")).agg(F.avg("value").alias("value"))
+    return daily.unpivot(["user_id", "day"], ["value"], "feature", "mean")
 
 
 def hourly_types(spark: SparkSession, folder: str) -> DataFrame:
@@ -372,7 +373,7 @@ def jtk(spark, folder):
 
 
 def ejtk(spark, folder):
-    users = daily_users(spark, folder).withColumn("feature", F.lit("value"))
+    users = daily_users(spark, folder)
     fits = fit_series(users, EmpiricalJTK([6, 7, 8], interval=24.0, n_perms=200), "user_id", "feature", "day", "mean", "mean")
     return _rank_columns(fits, ["user_id"], "adj_p_jtk", "phase_hours", "amplitude")
 

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
+from ..session import shuffle_partitions
+
 DOUBLES = ArrayType(DoubleType())
 
 
@@ -23,7 +25,10 @@ def pack_series(
     value. ``carry`` names columns that are constant within a series."""
     value = F.col(value_col).cast("double")
     bad = value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
-    packed = df.groupBy(*keys).agg(
+    # a fixed number of partitions: packed series are few bytes but much work, and would
+    # otherwise be coalesced into a handful of tasks
+    spread = df.repartition(shuffle_partitions(df.sparkSession), *keys)
+    packed = spread.groupBy(*keys).agg(
         F.sort_array(
             F.collect_list(F.struct(F.col(time_col).cast("double").alias("t"), value.alias("v")))
         ).alias("_points"),

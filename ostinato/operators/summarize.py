@@ -4,16 +4,19 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import NumericType
 
 from ..functions.scalar import nan_to_null
 from ..session import materialise
-from .ranks import GROUP_ROWS, grouped_quantiles, join_same
+from .ranks import grouped_quantiles, join_same
 
 # The statistics of a summary table, in column order.
 STATS = ("mean", "median", "stddev", "q0", "q10", "q25", "q50", "q75", "q90", "q100")
+# Features per shuffled row, and cells of one group that a task may hold for each of them.
+FEATURE_BATCH = 16
+GROUP_CELLS = 250_000
 # Oversized groups that may still be sent to every task (a few MB of keys).
 _BROADCAST_GROUPS = 50_000
 _INNER = {"q10": 0.10, "q25": 0.25, "q50": 0.50, "q75": 0.75, "q90": 0.90}
@@ -27,10 +30,14 @@ def feature_columns(df: DataFrame, index_keys: Sequence[str]) -> list[str]:
     ]
 
 
+def _value(column: str) -> Column:
+    return nan_to_null(F.col(f"`{column}`").cast("double"))
+
+
 def cells_long(df: DataFrame, index_keys: Sequence[str], features: Sequence[str] | None = None) -> DataFrame:
     """Wide cell table to ``index_keys, feature, value``; NaN becomes null."""
     features = list(features or feature_columns(df, index_keys))
-    typed = df.select(*index_keys, *[nan_to_null(F.col(f"`{c}`").cast("double")).alias(c) for c in features])
+    typed = df.select(*index_keys, *[_value(c).alias(c) for c in features])
     return typed.unpivot(list(index_keys), [f"`{c}`" for c in features], "feature", "value")
 
 
@@ -43,25 +50,56 @@ def _moments():
     ]
 
 
+def _cold_stats(df: DataFrame, index_keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """All statistics of groups that fit a task. Cells are shuffled as arrays of
+    ``FEATURE_BATCH`` features, a few bytes per value, and only unfolded behind the
+    shuffle, where the aggregate finds them already in place."""
+    batches = [
+        F.struct(
+            F.lit(i).alias("_batch"),
+            F.array(*[_value(c) for c in features[i * FEATURE_BATCH : (i + 1) * FEATURE_BATCH]]).alias("_values"),
+        )
+        for i in range((len(features) + FEATURE_BATCH - 1) // FEATURE_BATCH)
+    ]
+    rows = df.select(*index_keys, F.inline(F.array(*batches)))
+    placed = rows.repartition(*index_keys, "_batch").select(
+        *index_keys, "_batch", F.posexplode("_values").alias("_pos", "value")
+    )
+    grid = F.array(*[F.lit(p) for p in _INNER.values()])
+    packed = placed.groupBy(*index_keys, "_batch", "_pos").agg(*_moments(), F.percentile("value", grid).alias("_q"))
+    names = F.array(*[F.lit(c) for c in features])
+    return packed.select(
+        *index_keys,
+        F.get(names, F.col("_batch") * FEATURE_BATCH + F.col("_pos")).alias("feature"),
+        "mean",
+        "stddev",
+        "q0",
+        "q100",
+        *[F.col("_q")[i].alias(n) for i, n in enumerate(_INNER)],
+    )
+
+
+def _hot_stats(df: DataFrame, index_keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+    """The same for oversized groups: moments from partial sums, quantiles from range segments."""
+    keys = [*index_keys, "feature"]
+    long = cells_long(df, index_keys, features)
+    inner = grouped_quantiles(long, keys, "value", list(_INNER.values()), list(_INNER), split=True)
+    return join_same(long.groupBy(*keys).agg(*_moments()), inner, keys, "left")
+
+
 def summarize_cells(
     df: DataFrame,
     well_cols: Sequence[str],
     timepoint_col: str,
     features: Sequence[str] | None = None,
-    group_rows: int | None = GROUP_ROWS,
+    group_rows: int | None = GROUP_CELLS,
 ) -> DataFrame:
     """Ten statistics per ``(wells, timepoint, feature)``, nulls ignored.
 
-    The wide table is unpivoted before the only shuffle, so thousands of features
-    need no wide aggregate. Means and deviations are combined on the map side.
-    Index groups above ``group_rows`` rows get their quantiles from range segments
-    instead of one task each; ``group_rows=None`` skips that check.
-    """
+    Index groups above ``group_rows`` cells are treated apart, spread over tasks by
+    value; to find them the keys are counted first. ``None`` skips that count."""
     index_keys = [*well_cols, timepoint_col]
-    keys = [*index_keys, "feature"]
-    long = cells_long(df, index_keys, features)
-    names, probs = list(_INNER), list(_INNER.values())
-
+    features = list(features or feature_columns(df, index_keys))
     hot, n_hot = None, 0
     if group_rows is not None:
         sizes = df.groupBy(*index_keys).count().where(F.col("count") > group_rows)
@@ -69,24 +107,15 @@ def summarize_cells(
         n_hot = hot.count()
 
     if n_hot == 0:
-        grid = F.array(*[F.lit(p) for p in probs])
-        packed = long.groupBy(*keys).agg(*_moments(), F.percentile("value", grid).alias("_q"))
-        stats = packed.select(
-            *keys, "mean", "stddev", "q0", "q100", *[F.col("_q")[i].alias(n) for i, n in enumerate(names)]
-        )
+        stats = _cold_stats(df, index_keys, features)
     else:
-        small = n_hot <= _BROADCAST_GROUPS
-
-        def only(how: str) -> DataFrame:
-            renamed = hot.select(*[F.col(k).alias(f"_r_{k}") for k in index_keys])
-            condition = F.lit(True)
-            for k in index_keys:
-                condition = condition & df[k].eqNullSafe(renamed[f"_r_{k}"])
-            kept = df.join(F.broadcast(renamed) if small else renamed, condition, how)
-            return cells_long(kept, index_keys, features)
-
-        inner = grouped_quantiles(only("left_anti"), keys, "value", probs, names).unionByName(
-            grouped_quantiles(only("left_semi"), keys, "value", probs, names, split=True)
+        renamed = hot.select(*[F.col(k).alias(f"_r_{k}") for k in index_keys])
+        if n_hot <= _BROADCAST_GROUPS:
+            renamed = F.broadcast(renamed)
+        condition = F.lit(True)
+        for k in index_keys:
+            condition = condition & df[k].eqNullSafe(renamed[f"_r_{k}"])
+        stats = _cold_stats(df.join(renamed, condition, "left_anti"), index_keys, features).unionByName(
+            _hot_stats(df.join(renamed, condition, "left_semi"), index_keys, features)
         )
-        stats = join_same(long.groupBy(*keys).agg(*_moments()), inner, keys, "left")
-    return stats.withColumn("median", F.col("q50")).select(*keys, *STATS)
+    return stats.withColumn("median", F.col("q50")).select(*index_keys, "feature", *STATS)

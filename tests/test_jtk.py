@@ -11,7 +11,7 @@ from ostinato.operators.jtk import (
     JTKCycle,
     _walsh_median_sorted,
     amplitudes,
-    best_pattern,
+    best_patterns,
     hodges_lehmann,
     kendall_scores,
     null_distribution,
@@ -139,7 +139,7 @@ def test_permuted_scores(refs):
 
 def search(x):
     refs = patterns(tuple(PERIODS), 48)
-    return best_pattern(x, refs.scores(x[None, :])[0], null_distribution(48), refs)
+    return best_patterns(x[None, :], refs.scores(x[None, :]), null_distribution(48), refs)[0]
 
 
 def test_clean_cosine():
@@ -174,7 +174,7 @@ def one_by_one(x, n_perms):
     seeds = np.random.default_rng(PERMUTATION_SEED).integers(0, 2**32, size=n_perms, dtype=int)
     for seed in seeds:
         y = np.random.default_rng(seed).permutation(x)
-        reached += best_pattern(y, refs.scores(y[None, :])[0], null, refs)["tau"] >= seen
+        reached += best_patterns(y[None, :], refs.scores(y[None, :]), null, refs)[0]["tau"] >= seen
     return max(reached / n_perms, 1 / n_perms)
 
 
@@ -238,4 +238,4 @@ def test_score_frame(spark):
 def test_amplitude_uses_full_cycles_only():
     refs = patterns((30,), 20)
     x = np.random.default_rng(8).normal(size=20)
-    assert amplitudes(x, refs.scores(x[None, :])[0], np.arange(30), refs).tolist() == [0.0] * 30
+    assert amplitudes(x[None, :], refs.scores(x[None, :]), np.ones((1, 30), bool), refs).tolist() == [[0.0] * 30]
