@@ -10,7 +10,7 @@ from pyspark.sql.types import NumericType
 
 from ..functions.scalar import nan_to_null
 from ..session import materialise
-from .ranks import grouped_quantiles, join_same
+from .ranks import grouped_quantiles, join_same, largest_group
 
 # The statistics of a summary table, in column order.
 STATS = ("mean", "median", "stddev", "q0", "q10", "q25", "q50", "q75", "q90", "q100")
@@ -101,7 +101,7 @@ def summarize_cells(
     index_keys = [*well_cols, timepoint_col]
     features = list(features or feature_columns(df, index_keys))
     hot, n_hot = None, 0
-    if group_rows is not None:
+    if group_rows is not None and largest_group(df, index_keys) > group_rows:
         sizes = df.groupBy(*index_keys).count().where(F.col("count") > group_rows)
         hot = materialise(sizes.select(*index_keys))
         n_hot = hot.count()

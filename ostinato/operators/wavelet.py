@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..functions.scalar import TWO_PI
+from ..session import materialise
 from .series import pack_series
 
 # Fixed value: centre frequency of the mother wavelet.
@@ -136,7 +137,8 @@ class WaveletAnalyzer:
         if well_list is not None:
             df = df.where(F.col(well_col).isin(*well_list))
         keys = [well_col, name_col]
-        packed = self._packed(df, name_col, well_col, stat_val, timepoint_col)
+        # three tables are read from the transform, which is therefore kept
+        packed = materialise(self._packed(df, name_col, well_col, stat_val, timepoint_col))
         zipped = F.arrays_zip("_time", "_periods", "_phase", "_amplitude", "_power")
         ridge = packed.select(*keys, F.inline(zipped)).select(
             *keys,
