@@ -363,19 +363,28 @@ def kendall(spark, folder):
     return kendall_scores(means, ["well", "feature"], "tp", "mean", [6, 12])
 
 
-def _rank_columns(fits: DataFrame, keys: list[str], corrected: str, phase: str, amplitude: str) -> DataFrame:
-    return fits.select(*keys, "p_value", corrected, "period", phase, amplitude, "tau", "jtk_baseline", "lsq_amplitude", "lsq_r_squared")
-
-
 def jtk(spark, folder):
-    fits = _cosinor(monthly(spark, folder), JTKCycle([6, 9, 12]))
-    return _rank_columns(fits, ["well", "feature"], "jtk_corrected_p", "jtk_phase_hours", "jtk_amplitude")
+    means = monthly(spark, folder).withColumn("mean", F.round("mean", 8))
+    fits = _cosinor(means, JTKCycle([6, 9, 12]))
+    return fits.select(
+        "well",
+        "feature",
+        rounded("p_value", 8).alias("p_value"),
+        rounded("jtk_corrected_p", 8).alias("jtk_corrected_p"),
+        "period",
+        "jtk_phase_hours",
+        rounded("jtk_amplitude", 5).alias("jtk_amplitude"),
+        rounded("tau", 8).alias("tau"),
+        rounded("jtk_baseline", 10).alias("jtk_baseline"),
+        rounded("lsq_amplitude", 5).alias("lsq_amplitude"),
+        rounded("lsq_r_squared", 7).alias("lsq_r_squared"),
+    )
 
 
 def ejtk(spark, folder):
     users = daily_users(spark, folder)
     fits = fit_series(users, EmpiricalJTK([6, 7, 8], interval=24.0, n_perms=200), "user_id", "feature", "day", "mean", "mean")
-    return _rank_columns(fits, ["user_id"], "adj_p_jtk", "phase_hours", "amplitude")
+    return fits.drop("jtk_fitted", "lsq_fitted")
 
 
 def periods_found(spark, folder):

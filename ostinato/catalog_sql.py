@@ -175,6 +175,71 @@ def _savgol(window: int, order: int) -> str:
     return ", ".join(f"({p}, {q}, {weights[p, q]!r}::DOUBLE)".replace("np.float64(", "").replace(")::", "::") for p in range(window) for q in range(window))
 
 
+def _scores(periods: str) -> str:
+    """CTEs ending in ``scores``: Kendall S of every series with every reference cosine."""
+    return f"""{MONTHLY},
+numbered AS (SELECT well, feature, tp, round(mean, 8) AS x, row_number() OVER s - 1 AS i, count(*) OVER (PARTITION BY well, feature) AS n
+  FROM monthly WINDOW s AS (PARTITION BY well, feature ORDER BY tp)),
+waves AS (SELECT n, period, lag_index, i, cos(i * (2 * 3.1416::DOUBLE / period) + lag_index * (2 * 3.1416::DOUBLE / period) / 2) AS wave
+  FROM (SELECT DISTINCT n FROM numbered), (SELECT unnest([{periods}]) AS period),
+  LATERAL (SELECT unnest(range(period)) AS lag_index), LATERAL (SELECT unnest(range(n)) AS i)),
+ref AS (SELECT *, row_number() OVER (PARTITION BY n, period, lag_index ORDER BY wave) AS rank FROM waves),
+patterns AS (SELECT a.n, a.period, a.lag_index, a.i, b.i AS j, sign(a.rank - b.rank) AS c FROM ref a
+  JOIN ref b ON a.n = b.n AND a.period = b.period AND a.lag_index = b.lag_index AND a.i > b.i),
+pairs AS (SELECT a.well, a.feature, a.n, a.i, b.i AS j, sign(a.x - b.x) AS x FROM numbered a
+  JOIN numbered b ON a.well = b.well AND a.feature = b.feature AND a.i > b.i),
+scores AS (SELECT well, feature, n, period, lag_index, CAST(sum(x * c) AS BIGINT) AS s
+  FROM pairs JOIN patterns USING (n, i, j) GROUP BY well, feature, n, period, lag_index)"""
+
+
+# The null distribution is built order by order from inversion counts; its table is read half a
+# step above the score, and one step behind in the upper half if the number of pairs is even.
+_JTK = f"""WITH RECURSIVE {_scores("6, 9, 12")},
+inversions(size, k, p) AS (SELECT 1, 0, 1.0::DOUBLE UNION ALL
+  (SELECT size + 1, CAST(k + j AS INTEGER), sum(p) / (size + 1) FROM inversions, LATERAL (SELECT unnest(range(size + 1)) AS j)
+   WHERE size < (SELECT max(n) FROM numbered) GROUP BY size, k + j)),
+survival AS (SELECT size AS n, k, sum(p) OVER (PARTITION BY size ORDER BY k DESC ROWS UNBOUNDED PRECEDING) AS sv
+  FROM inversions WHERE size IN (SELECT DISTINCT n FROM numbered)),
+places AS (SELECT *, n * (n - 1) // 2 AS top, (abs(s) + n * (n - 1) // 2 + 1) // 2 AS lo, (abs(s) + n * (n - 1) // 2 + 2) // 2 AS hi FROM scores),
+levels AS (SELECT *, lo - CASE WHEN top % 2 = 0 AND lo > top // 2 THEN 1 ELSE 0 END AS llo,
+    hi - CASE WHEN top % 2 = 0 AND hi > top // 2 THEN 1 ELSE 0 END AS lhi FROM places),
+raw AS (SELECT l.*, CASE WHEN s = 0 THEN 1 WHEN abs(s) >= top THEN 0 ELSE a.sv + coalesce(b.sv, 0) END AS p_value FROM levels l
+  LEFT JOIN survival a ON a.n = l.n AND a.k = l.llo LEFT JOIN survival b ON b.n = l.n AND b.k = l.lhi),
+adjusted AS (SELECT *, least(1, p_value * count(*) OVER w) AS adj FROM raw WINDOW w AS (PARTITION BY well, feature)),
+tied AS (SELECT *, CASE WHEN s < 0 THEN -1 ELSE 1 END AS side FROM adjusted QUALIFY adj = min(adj) OVER (PARTITION BY well, feature)),
+cycles AS (SELECT well, feature, period, i, x FROM numbered, (SELECT unnest([6, 9, 12]) AS period) WHERE i < n // period * period),
+centre AS (SELECT a.well, a.feature, a.period, median((a.x + b.x) / 2) AS c FROM cycles a JOIN cycles b
+  ON a.well = b.well AND a.feature = b.feature AND a.period = b.period AND a.i >= b.i GROUP BY a.well, a.feature, a.period),
+facing AS (SELECT t.well, t.feature, t.period, t.lag_index, d.i, t.side * sqrt(2) * (d.x - c.c) * sign(v.wave) AS z FROM tied t
+  JOIN cycles d ON d.well = t.well AND d.feature = t.feature AND d.period = t.period
+  JOIN centre c ON c.well = t.well AND c.feature = t.feature AND c.period = t.period
+  JOIN waves v ON v.n = t.n AND v.period = t.period AND v.lag_index = t.lag_index AND v.i = d.i),
+amplitudes AS (SELECT a.well, a.feature, a.period, a.lag_index, median((a.z + b.z) / 2) AS amplitude FROM facing a JOIN facing b
+  ON a.well = b.well AND a.feature = b.feature AND a.period = b.period AND a.lag_index = b.lag_index AND a.i >= b.i
+  GROUP BY a.well, a.feature, a.period, a.lag_index),
+best AS (SELECT t.*, amplitude FROM tied t JOIN amplitudes USING (well, feature, period, lag_index)
+  QUALIFY row_number() OVER (PARTITION BY well, feature ORDER BY amplitude DESC, period, lag_index) = 1),
+base AS (SELECT a.well, a.feature, median((a.x + b.x) / 2) AS baseline FROM numbered a JOIN numbered b
+  ON a.well = b.well AND a.feature = b.feature AND a.i >= b.i GROUP BY a.well, a.feature),
+refit AS (SELECT well, feature, var_pop(c) AS cc, var_pop(s) AS ss, covar_pop(c, s) AS cs, covar_pop(x, c) AS yc, covar_pop(x, s) AS ys, var_pop(x) AS yy
+  FROM (SELECT m.well, m.feature, m.x, cos(2 * pi() * m.tp / b.period) AS c, sin(2 * pi() * m.tp / b.period) AS s FROM numbered m
+    JOIN best b ON m.well = b.well AND m.feature = b.feature) GROUP BY well, feature),
+slopes AS (SELECT *, (yc * ss - ys * cs) / (cc * ss - cs * cs) AS a, (ys * cc - yc * cs) / (cc * ss - cs * cs) AS b FROM refit)
+SELECT well, feature, round(p_value, 8) + 0.0 AS p_value, round(adj, 8) + 0.0 AS jtk_corrected_p, period::DOUBLE AS period,
+  (period + (1 - side) * period / 4.0::DOUBLE - lag_index / 2.0::DOUBLE) % period AS jtk_phase_hours,
+  round(greatest(0, amplitude), 5) + 0.0 AS jtk_amplitude, round(abs(s) / top, 8) + 0.0 AS tau, round(baseline, 10) + 0.0 AS jtk_baseline,
+  round(sqrt(a * a + b * b), 5) + 0.0 AS lsq_amplitude, round((a * yc + b * ys) / yy, 7) + 0.0 AS lsq_r_squared
+FROM best JOIN base USING (well, feature) JOIN slopes USING (well, feature)"""
+
+_REDUNDANT = """WITH RECURSIVE {pearson},
+near AS (SELECT label, CAST(substr(a, 2) AS INTEGER) AS i, list(CAST(substr(b, 2) AS INTEGER)) AS js FROM r WHERE abs(r) > 0.4 GROUP BY label, a),
+walk(label, i, taken, claims) AS (SELECT DISTINCT label, -1, []::INTEGER[], []::INTEGER[] FROM r UNION ALL
+  SELECT w.label, w.i + 1, list_concat(w.taken, c.fresh), c.fresh FROM walk w LEFT JOIN near n ON n.label = w.label AND n.i = w.i + 1,
+  LATERAL (SELECT CASE WHEN n.js IS NULL OR list_contains(w.taken, w.i + 1) THEN []::INTEGER[]
+    ELSE list_filter(n.js, lambda j: NOT list_contains(w.taken, j)) END AS fresh) c WHERE w.i < 63)
+SELECT label, printf('d%02d', unnest(claims)) AS feature, printf('d%02d', i) AS representative_feature FROM walk"""
+
+
 def catalog_sql() -> dict[str, str]:
     means = _detrend("monthly", "well, feature", ("mean",), "clean")
     return {
@@ -259,19 +324,10 @@ SELECT a.event_type, a.hour::INTEGER AS hour, round(sum(b.mean * w.weight), 6) +
 JOIN w ON w.p = a.i - a.start JOIN placed b ON b.event_type = a.event_type AND b.i = a.start + w.q GROUP BY a.event_type, a.hour""",
         "hodges_lehmann": f"""WITH {MONTHLY} SELECT a.well, a.feature, round(median((a.mean + b.mean) / 2), 7) + 0.0 AS location
 FROM monthly a JOIN monthly b ON a.well = b.well AND a.feature = b.feature AND a.tp >= b.tp GROUP BY a.well, a.feature""",
-        "kendall_scores": f"""WITH {MONTHLY},
-numbered AS (SELECT well, feature, round(mean, 8) AS mean, row_number() OVER s - 1 AS i, count(*) OVER (PARTITION BY well, feature) AS n
-  FROM monthly WINDOW s AS (PARTITION BY well, feature ORDER BY tp)),
-ref AS (SELECT n, period, lag_index, i, row_number() OVER (PARTITION BY n, period, lag_index
-    ORDER BY cos(i * (2 * 3.1416::DOUBLE / period) + lag_index * (2 * 3.1416::DOUBLE / period) / 2)) AS rank
-  FROM (SELECT DISTINCT n FROM numbered), (VALUES (6), (12)) AS t(period),
-  LATERAL (SELECT unnest(range(period)) AS lag_index), LATERAL (SELECT unnest(range(n)) AS i)),
-patterns AS (SELECT a.n, a.period, a.lag_index, a.i, b.i AS j, sign(a.rank - b.rank) AS c FROM ref a
-  JOIN ref b ON a.n = b.n AND a.period = b.period AND a.lag_index = b.lag_index AND a.i > b.i),
-pairs AS (SELECT a.well, a.feature, a.n, a.i, b.i AS j, sign(a.mean - b.mean) AS x FROM numbered a
-  JOIN numbered b ON a.well = b.well AND a.feature = b.feature AND a.i > b.i)
-SELECT well, feature, CAST(period AS INTEGER) AS period, CAST(lag_index AS INTEGER) AS lag_index, CAST(sum(x * c) AS BIGINT) AS s
-FROM pairs JOIN patterns USING (n, i, j) GROUP BY well, feature, period, lag_index""",
+        "kendall_scores": f"""WITH {_scores("6, 12")}
+SELECT well, feature, CAST(period AS INTEGER) AS period, CAST(lag_index AS INTEGER) AS lag_index, s FROM scores""",
+        "jtk": _JTK,
+        "redundant_features": _REDUNDANT.format(pearson=PEARSON),
         "pearson_corr": f"WITH {PEARSON} SELECT {_PAIR}, round(r, 6) + 0.0 AS r FROM r",
         "spearman_corr": f"""WITH {EMBEDDED}, x AS (SELECT label, vec_id, dim,
 rank() OVER (PARTITION BY label, dim ORDER BY z) + (count(*) OVER (PARTITION BY label, dim, z) - 1) / 2.0::DOUBLE AS v FROM z),
