@@ -328,20 +328,30 @@ def _wavelet(spark, folder):
     return WaveletAnalyzer((12, 48), 1.0).analyze(reads, "name", "event_type", "mean", "hour")
 
 
+_RIDGE = ("periods", "phase", "amplitude", "power", "phase_hours")
+
+
 def wavelet_ridge(spark, folder):
-    return _wavelet(spark, folder).ridge
+    ridge = _wavelet(spark, folder).ridge
+    return ridge.select("event_type", "name", F.col("time").cast("int").alias("time"), *[rounded(c, 5).alias(c) for c in _RIDGE])
 
 
 def wavelet_fourier(spark, folder):
-    return _wavelet(spark, folder).fourier
+    fourier = _wavelet(spark, folder).fourier
+    return fourier.select("event_type", "name", rounded("period").alias("period"), rounded("power").alias("power"))
 
 
 def wavelet_summary(spark, folder):
-    return _wavelet(spark, folder).summary
+    summary = _wavelet(spark, folder).summary
+    numbers = [c for c in summary.columns if c not in ("event_type", "name")]
+    return summary.select("event_type", "name", *[rounded(c, 5).alias(c) for c in numbers])
 
 
 def ridge_stats(spark, folder):
-    return ridge_group_stats(_wavelet(spark, folder).ridge, "name", "time", ["periods", "amplitude", "phase_hours"])
+    metrics = ["periods", "amplitude", "phase_hours"]
+    stats = ridge_group_stats(_wavelet(spark, folder).ridge, "name", "time", metrics)
+    numbers = [f"{m}_{s}" for m in metrics for s in ("mean", "std")]
+    return stats.select("name", F.col("time").cast("int").alias("time"), *[rounded(c, 5).alias(c) for c in numbers])
 
 
 def savgol_smooth(spark, folder):

@@ -240,6 +240,34 @@ walk(label, i, taken, claims) AS (SELECT DISTINCT label, -1, []::INTEGER[], []::
 SELECT label, printf('d%02d', unnest(claims)) AS feature, printf('d%02d', i) AS representative_feature FROM walk"""
 
 
+# Direct sums: at every time the signal is multiplied with the wavelet shifted there.
+_WAVELET = f"""WITH {HOURLY},
+numbered AS (SELECT event_type, hour, mean - avg(mean) OVER w AS x, var_pop(mean) OVER w AS variance,
+    row_number() OVER (PARTITION BY event_type ORDER BY hour) - 1 AS i FROM hourly WINDOW w AS (PARTITION BY event_type)),
+axis AS (SELECT k, 12 + k * 36.0::DOUBLE / 199 AS period, (2 * pi() + sqrt(2 + 4 * pi() * pi())) * (12 + k * 36.0::DOUBLE / 199) / (4 * pi()) AS scale
+  FROM (SELECT unnest(range(200)) AS k)),
+size AS (SELECT max(i) + 1 AS longest FROM numbered),
+lags AS (SELECT unnest(range(1 - (SELECT longest FROM size), (SELECT longest FROM size))) AS lag),
+waves AS (SELECT k, list(exp(-0.5 * power(lag / scale, 2)) * cos(2 * pi() * lag / scale) / (power(pi(), 0.25) * sqrt(scale)) ORDER BY lag DESC) AS re,
+    list(exp(-0.5 * power(lag / scale, 2)) * sin(2 * pi() * lag / scale) / (power(pi(), 0.25) * sqrt(scale)) ORDER BY lag DESC) AS im
+  FROM axis, lags GROUP BY k),
+signals AS (SELECT event_type, list(x ORDER BY i) AS xs, count(*) AS n FROM numbered GROUP BY event_type),
+spectrum AS MATERIALIZED (SELECT a.event_type, a.i, a.hour, a.variance, w.k,
+    list_inner_product(w.re[longest - a.i:longest - a.i + n - 1], xs) AS re,
+    list_inner_product(w.im[longest - a.i:longest - a.i + n - 1], xs) AS im
+  FROM numbered a JOIN signals USING (event_type), waves w, size),
+powers AS (SELECT s.*, period, scale, (re * re + im * im) / variance AS power FROM spectrum s JOIN axis USING (k)),
+ridge AS (SELECT event_type, 'events' AS name, CAST(hour AS INTEGER) AS time, period AS periods, i,
+    CASE WHEN atan2(im, re) < 0 THEN atan2(im, re) + 2 * pi() ELSE atan2(im, re) END AS phase,
+    sqrt(re * re + im * im) * sqrt(2 / scale) / power(pi(), 0.25) AS amplitude, power
+  FROM powers QUALIFY row_number() OVER (PARTITION BY event_type, i ORDER BY power DESC, k) = 1),
+fourier AS (SELECT event_type, 'events' AS name, k, any_value(period) AS period, avg(power) AS power FROM powers GROUP BY event_type, k)"""
+
+
+def _wavelet(metrics: str, tail: str) -> str:
+    return f"{_WAVELET} SELECT {metrics} {tail}"
+
+
 def catalog_sql() -> dict[str, str]:
     means = _detrend("monthly", "well, feature", ("mean",), "clean")
     return {
@@ -316,6 +344,31 @@ binned AS (SELECT feature, low, high, median, CAST(least(floor((detected_period
 FROM best JOIN ends USING (feature))
 SELECT feature, bin, count(*) AS n, round(any_value(low + bin * ((high - low) / 20)), 6) + 0.0 AS bin_start, round(any_value(median), 6) + 0.0 AS median
 FROM binned GROUP BY feature, bin""",
+        "wavelet_ridge": _wavelet(
+            "event_type, name, time, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in ("periods", "phase", "amplitude", "power")),
+            ", round(phase / (2 * pi()) * periods, 5) + 0.0 AS phase_hours FROM ridge",
+        ),
+        "wavelet_fourier": _wavelet("event_type, name, round(period, 6) AS period, round(power, 6) AS power", "FROM fourier"),
+        "wavelet_summary": _wavelet(
+            "event_type, 'events' AS name, "
+            + ", ".join(
+                f"round({f}({c}), 5) + 0.0 AS {n}_{m}"
+                for m, c in (("period", "periods"), ("amplitude", "amplitude"))
+                for n, f in (("mean", "avg"), ("std", "stddev_samp"), ("median", "median"))
+            ),
+            """, round(max(CASE WHEN i = size // 2 THEN phase END), 5) + 0.0 AS mid_phase, round(any_value(peak), 5) + 0.0 AS peak_fourier_period
+FROM ridge JOIN (SELECT event_type, arg_max(period, power) AS peak FROM fourier GROUP BY event_type) USING (event_type)
+JOIN (SELECT event_type, count(*) AS size FROM numbered GROUP BY event_type) USING (event_type) GROUP BY event_type""",
+        ),
+        "ridge_group_stats": _wavelet(
+            "name, time, "
+            + ", ".join(
+                f"round({f}({c}), 5) + 0.0 AS {m}_{n}"
+                for m, c in (("periods", "periods"), ("amplitude", "amplitude"), ("phase_hours", "phase / (2 * pi()) * periods"))
+                for n, f in (("mean", "avg"), ("std", "stddev_samp"))
+            ),
+            "FROM ridge GROUP BY name, time",
+        ),
         "savgol": f"""WITH {HOURLY}, w(p, q, weight) AS (VALUES {_savgol(13, 3)}),
 numbered AS (SELECT event_type, hour, mean, row_number() OVER s - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n
   FROM hourly WINDOW s AS (PARTITION BY event_type ORDER BY hour)),

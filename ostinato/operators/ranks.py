@@ -28,9 +28,10 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    """Join on equal keys where null equals null; the right keys are dropped."""
+    """Join on equal keys where null equals null; the right keys are dropped. Without
+    keys the right side is the one row of the only group."""
     if not keys:
-        return left.crossJoin(right) if how == "inner" else left.join(right, how=how)
+        return left.crossJoin(F.broadcast(right))
     renamed = right.select(
         *[F.col(k).alias(f"_r_{k}") for k in keys], *[c for c in right.columns if c not in keys]
     )
