@@ -48,58 +48,95 @@ def _harmonic(m: Column) -> Column:
     return F.when(m <= 100, short).otherwise(long)
 
 
-def hommel_adjust(p: np.ndarray) -> np.ndarray:
-    """Hommel's adjusted p-values of one family.
-
-    ``simes[s]`` is the Simes p-value of the s largest p. The minimum it takes over
-    ranks is the slope of a tangent to the lower hull of ``(rank, p)``, so all of
-    them come from one hull and a binary search.
-    """
-    p = np.asarray(p, float)
-    n = len(p)
-    if n < 2:
-        return np.minimum(p, 1.0)
-    order = np.argsort(p, kind="stable")
-    y = p[order]
+def lower_hull(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Places of the lower convex hull of points with rising x."""
     hull: list[int] = []
-    for j in range(n):
+    for j in range(len(x)):
         while len(hull) > 1:
             a, b = hull[-2], hull[-1]
-            if (y[b] - y[a]) * (j - a) >= (y[j] - y[a]) * (b - a):
-                hull.pop()
-            else:
+            if (y[b] - y[a]) * (x[j] - x[a]) < (y[j] - y[a]) * (x[b] - x[a]):
                 break
+            hull.pop()
         hull.append(j)
-    at = np.array(hull)
-    x, height = at + 1.0, y[at]
-    rise, run = np.diff(height), np.diff(x)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        crossing = np.where(rise > 0, x[:-1] - height[:-1] * run / rise, -np.inf)
-    crossing = np.maximum.accumulate(crossing) if len(crossing) else crossing
-    s = np.arange(1, n + 1)
-    left = n - s
-    vertex = np.searchsorted(crossing, left, side="right")
-    simes = s * height[vertex] / (x[vertex] - left)
-    simes[left < np.count_nonzero(y == 0)] = 0.0
-    level = np.append(np.maximum.accumulate(simes[::-1])[::-1], 0.0)
-    threshold = np.minimum.accumulate(level[1:] / s)
-    first = np.searchsorted(-threshold, -y, side="left")
-    adjusted = np.minimum(s[first] * y, level[first])
-    out = np.empty(n)
-    out[order] = np.minimum(np.maximum.accumulate(np.maximum(adjusted, y)), 1.0)
-    return out
-
-
-def _hommel(ranked: DataFrame, keys: Sequence[str], p: str) -> DataFrame:
-    schema = ranked.select(*keys, p).withColumn("_adj", F.lit(0.0)).schema
-
-    def adjust(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(p, ignore_index=True)
-        last = np.cumsum(pdf["cnt"].to_numpy()) - 1
-        full = hommel_adjust(np.repeat(pdf[p].to_numpy(), pdf["cnt"].to_numpy()))
-        return pdf[[*keys, p]].assign(_adj=full[last])
-
-    return ranked.groupBy(*keys).applyInPandas(adjust, schema)
+    return np.array(hull, int)
+
+
+def hommel_from_hull(p: np.ndarray, x: np.ndarray, y: np.ndarray, n: int) -> np.ndarray:
+    """Hommel's adjusted p-values of a family of n tests, given the lower hull ``x, y`` of
+    its points (rank, p).
+
+    The Simes p-value of the s largest p is the slope of the tangent from (n - s, 0) to
+    the hull. While one vertex carries the tangent it falls with s, so the largest Simes
+    value from s on is the one at s or the peak of an earlier vertex. The adjusted p is
+    where s p crosses that level, found by bisection for all p at once."""
+    x, y = np.asarray(x, float), np.asarray(y, float)
+    crossing = x[:-1] - y[:-1] * np.diff(x) / np.diff(y)
+
+    def vertex(s: np.ndarray) -> np.ndarray:
+        return np.searchsorted(crossing, n - s, side="right")
+
+    def simes(s: np.ndarray, v: np.ndarray) -> np.ndarray:
+        return s * y[v] / (x[v] - (n - s))
+
+    ends = np.minimum(np.ceil(np.append(crossing, n)) - 1, n - 1)
+    starts = np.maximum(np.ceil(np.append(0.0, crossing)), 0)
+    places = np.arange(len(x))
+    peaks = np.where(ends >= starts, simes(n - np.minimum(ends, x - 1), places), 0.0)
+    earlier = np.append(0.0, np.maximum.accumulate(peaks)[:-1])
+
+    def level(s: np.ndarray) -> np.ndarray:
+        inside = np.minimum(s, n)
+        v = vertex(inside)
+        return np.where(s > n, 0.0, np.maximum(simes(inside, v), earlier[v]))
+
+    p = np.asarray(p, float)
+    low, high = np.ones(len(p)), np.full(len(p), float(n))
+    while (low < high).any():
+        middle = np.floor((low + high) / 2)
+        reached = middle * p >= level(middle + 1)
+        low, high = np.where(reached, low, middle + 1), np.where(reached, middle, high)
+    return np.minimum(np.maximum(np.minimum(low * p, level(low)), p), 1.0)
+
+
+def hommel_adjust(p: np.ndarray) -> np.ndarray:
+    """Hommel's adjusted p-values of one family."""
+    values, counts = np.unique(np.asarray(p, float), return_counts=True)
+    ranks = np.cumsum(counts)
+    hull = lower_hull(ranks, values)
+    adjusted = hommel_from_hull(values, ranks[hull], values[hull], len(p))
+    return adjusted[np.searchsorted(values, p)]
+
+
+def _hommel(ranked: DataFrame, keys: Sequence[str], p: str, split: bool) -> DataFrame:
+    """One task per family, or per range segment of it: segments give their own hulls,
+    the few vertices left of them meet, and the hull of those goes back to each segment."""
+    points = ranked.withColumn("_x", (F.col("before") + F.col("cnt")).cast("double"))
+    columns = [*keys, "_seg", p, "_x", "total"]
+    schema = points.select(*keys, p).withColumn("_adj", F.lit(0.0)).schema
+
+    def hull_of(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_x", ignore_index=True)
+        return pdf.iloc[lower_hull(pdf["_x"].to_numpy(), pdf[p].to_numpy())]
+
+    def adjust(rows: pd.DataFrame, hull: pd.DataFrame) -> pd.DataFrame:
+        total = int(hull["total"].iloc[0])
+        values = hommel_from_hull(rows[p].to_numpy(), hull["_x"].to_numpy(), hull[p].to_numpy(), total)
+        return rows[[*keys, p]].assign(_adj=values)
+
+    points = points.select(*columns)
+    if not split:
+        return points.groupBy(*keys).applyInPandas(lambda pdf: adjust(pdf, hull_of(pdf)), schema)
+    parts = points.groupBy(*keys, "_seg").applyInPandas(hull_of, points.schema)
+    whole = parts.groupBy(*keys).applyInPandas(hull_of, points.schema).drop("_seg")
+    segments = points.select(*keys, "_seg").distinct()
+    # renamed columns keep the two sides of the cogroup apart
+    sent = join_same(segments, whole, keys).select(*[F.col(c).alias(c) for c in columns])
+
+    def adjust_segment(rows: pd.DataFrame, hull: pd.DataFrame) -> pd.DataFrame:
+        return adjust(rows, hull.sort_values("_x"))
+
+    by = [*keys, "_seg"]
+    return points.groupBy(*by).cogroup(sent.groupBy(*by)).applyInPandas(adjust_segment, schema)
 
 
 def adjust_pvalues(
@@ -144,7 +181,7 @@ def adjust_pvalues(
     elif method == "simes-hochberg":
         adjusted = step(p * (m - last + 1), up=False)
     elif method == "hommel":
-        adjusted = _hommel(ranked, keys, p_col)
+        adjusted = _hommel(ranked, keys, p_col, split)
     elif method == "fdr_by":
         adjusted = step(p * m / last * _harmonic(m), up=False)
     else:

@@ -29,7 +29,7 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 def join_same(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
     """Join on equal keys where null equals null; the right keys are dropped. Without
-    keys the right side is the one row of the only group."""
+    keys the right side is the little that there is of the only group."""
     if not keys:
         return left.crossJoin(F.broadcast(right))
     renamed = right.select(
