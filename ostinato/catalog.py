@@ -26,7 +26,14 @@ from .operators.series import map_series
 from .operators.summarize import STATS, cells_long, summarize_cells
 from .operators.wavelet import WaveletAnalyzer, ridge_group_stats, savgol
 from .plans.dct import dct_periods
-from .plans.detect import detect, detect_cosinor_multiperiod, fit_series, join_platemap, time_range
+from .plans.detect import (
+    detect,
+    detect_cosinor_multiperiod,
+    feature_with_platemap,
+    fit_series,
+    join_platemap,
+    time_range,
+)
 from .plans.network import NetworkAnalyzer
 from .plans.preprocess import clean_signal
 from .session import materialise
@@ -248,6 +255,11 @@ def platemap_inner_join(spark, folder):
     )
 
 
+def feature_metadata(spark, folder):
+    merged = feature_with_platemap(spark, monthly(spark, folder), platemap(spark, folder), "well", "l_quantity")
+    return merged.select("well", "tp", "feature", rounded("mean", 8).alias("mean"), "region", "nation", "cycle")
+
+
 def assembled_matrix(spark, folder):
     """Wells of a region side by side; a cell a well lacks counts as zero."""
     named = monthly(spark, folder).join(platemap(spark, folder).select("well", "region"), "well")
@@ -519,6 +531,7 @@ def catalog() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "fdr_two_stage_bky": _corrected("fdr_tsbky", region),
         "platemap_left_join": platemap_left_join,
         "platemap_inner_join": platemap_inner_join,
+        "feature_with_platemap": feature_metadata,
         "assembled_matrix": assembled_matrix,
         "sonar_pivot": sonar_pivot,
         "well_names": well_names,

@@ -315,6 +315,8 @@ FROM points p JOIN coef c ON p.well = c.well AND p.feature = c.feature""",
 FROM monthly LEFT JOIN (SELECT * FROM platemap WHERE region <> 'ASIA') USING (well) GROUP BY region, nation""",
         "platemap_inner_join": f"""WITH {MONTHLY}, {PLATEMAP} SELECT region, feature, count(*) AS n, round(avg(mean), 3) AS mean
 FROM monthly JOIN (SELECT * FROM platemap WHERE region <> 'ASIA') USING (well) GROUP BY region, feature""",
+        "feature_with_platemap": f"""WITH {MONTHLY}, {PLATEMAP} SELECT well, tp, feature, round(mean, 8) AS mean, region, nation, cycle
+FROM monthly LEFT JOIN platemap USING (well) WHERE feature = 'l_quantity'""",
         "assembled_matrix": f"""WITH {MONTHLY}, {PLATEMAP}, z AS (SELECT well, tp, feature,
 (mean - avg(mean) OVER w) / stddev_samp(mean) OVER w AS z FROM monthly WINDOW w AS (PARTITION BY well, feature)),
 named AS (SELECT * FROM z JOIN platemap USING (well)),

@@ -42,6 +42,15 @@ def join_platemap(results: DataFrame, platemap: DataFrame, well_col: str) -> Dat
     return results.join(renamed, results[well_col] == renamed["_well"], "left").drop("_well")
 
 
+def feature_with_platemap(
+    spark: SparkSession, data: DataFrame | str, platemap: DataFrame | str, well_col: str, feature: str, feature_col: str = "feature"
+) -> DataFrame:
+    """One feature of a data table, the filter reaching its scan, with well metadata joined
+    in; this is what the wavelet analysis takes."""
+    one = as_frame(spark, data).where(F.col(feature_col) == feature)
+    return join_platemap(one, read_platemap(spark, platemap), well_col)
+
+
 def fit_series(
     df: DataFrame,
     detector: Detector,
