@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from .functions.scalar import plate_hours, snap_to_grid, well_name
 from .operators import network as net
-from .operators.correlation import correlation, covariance, feature_matrix, redundant_features, row_spread, zscore
+from .operators.correlation import correlation, feature_matrix, redundant_features, zscore
 from .operators.cosinor import CosinorDetection, fitted_long
 from .operators.damped import DampedCosinorDetection
+from .operators.dct import best_periods, dct_spectrum
 from .operators.detrend import denoise_detrend
 from .operators.jtk import EmpiricalJTK, JTKCycle, hodges_lehmann, kendall_scores
 from .operators.multitest import adjust_pvalues
@@ -409,19 +410,17 @@ def ejtk(spark, folder):
     return fits.drop("jtk_fitted", "lsq_fitted")
 
 
+def _dct_all(spark, folder):
+    keys = ["well", "feature"]
+    return best_periods(dct_spectrum(monthly(spark, folder), keys, "tp", "mean", 1.0, (6, 24)), keys)
+
+
 def periods_found(spark, folder):
     return period_histogram(_dct_all(spark, folder), ["feature"], "detected_period").select(
         "feature", "bin", "n", rounded("bin_start").alias("bin_start"), rounded("median").alias("median")
     )
 
 
-def _dct_all(spark, folder):
-    from .operators.dct import best_periods, dct_spectrum
-
-    keys = ["well", "feature"]
-    return best_periods(dct_spectrum(monthly(spark, folder), keys, "tp", "mean", 1.0, (6, 24)), keys)
-
-
 # -- networks
 
 

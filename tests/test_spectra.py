@@ -1,7 +1,5 @@
 import numpy as np
-import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
 from ostinato.operators.dct import dct_spectrum
 from ostinato.operators.wavelet import WaveletAnalyzer, WaveletResults, ridge_group_stats, savgol, wavelet_transform
