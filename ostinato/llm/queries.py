@@ -11,6 +11,7 @@ from .common import table
 from .exact import exact_duplicates
 from .packing import pack_documents
 from .pieces import piece_digests
+from .simhash import near_duplicates
 
 
 def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,6 +26,10 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -32,6 +37,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op4_sentencepiece,
             op5_exact_dedup,
             op7_packing,
+            op9_simhash,
         )
     }
 
