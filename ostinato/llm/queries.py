@@ -11,6 +11,7 @@ from .common import table
 from .exact import exact_duplicates
 from .packing import pack_documents
 from .pieces import piece_digests
+from .repetition import repetition_rules
 from .simhash import near_duplicates
 
 
@@ -22,6 +23,10 @@ def op5_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(table(spark, folder, "documents"))
 
 
+def op6_repetition(spark: SparkSession, folder: str) -> DataFrame:
+    return repetition_rules(table(spark, folder, "documents"))
+
+
 def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -36,6 +41,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op4_sentencepiece,
             op5_exact_dedup,
+            op6_repetition,
             op7_packing,
             op9_simhash,
         )
