@@ -9,12 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact import exact_duplicates
+from .langid import held_out_languages
 from .packing import pack_documents
 from .pieces import piece_digests
 from .repetition import repetition_rules
 from .simhash import near_duplicates
 
 
+def op2_language(spark: SparkSession, folder: str) -> DataFrame:
+    return held_out_languages(table(spark, folder, "documents"))
+
+
 def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return piece_digests(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -39,6 +44,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            op2_language,
             op4_sentencepiece,
             op5_exact_dedup,
             op6_repetition,
