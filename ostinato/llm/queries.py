@@ -14,6 +14,11 @@ from .packing import pack_documents
 from .pieces import piece_digests
 from .repetition import repetition_rules
 from .simhash import near_duplicates
+from .toxicity import held_out_toxicity
+
+
+def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return held_out_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
 def op2_language(spark: SparkSession, folder: str) -> DataFrame:
@@ -44,6 +49,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
+            op1_toxicity,
             op2_language,
             op4_sentencepiece,
             op5_exact_dedup,
