@@ -12,6 +12,7 @@ from .exact import exact_duplicates
 from .langid import held_out_languages
 from .packing import pack_documents
 from .pieces import piece_digests
+from .pii import find_pii
 from .repetition import repetition_rules
 from .simhash import near_duplicates
 from .toxicity import held_out_toxicity
@@ -45,6 +46,10 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
+    return find_pii(table(spark, folder, "documents")).drop("text_hash")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -56,6 +61,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op6_repetition,
             op7_packing,
             op9_simhash,
+            op10_pii,
         )
     }
 
