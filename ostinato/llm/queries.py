@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact import exact_duplicates
+from .extraction import extract_main_text
 from .langid import held_out_languages
 from .packing import pack_documents
 from .pieces import piece_digests
@@ -42,6 +43,10 @@ def op7_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_main_text(table(spark, folder, "pages"))
+
+
 def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
@@ -60,6 +65,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op5_exact_dedup,
             op6_repetition,
             op7_packing,
+            op8_extraction,
             op9_simhash,
             op10_pii,
         )
