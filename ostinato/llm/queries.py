@@ -16,6 +16,7 @@ from .pieces import piece_digests
 from .pii import find_pii
 from .repetition import repetition_rules
 from .simhash import near_duplicates
+from .substring import remove_repeats
 from .toxicity import held_out_toxicity
 
 
@@ -27,6 +28,10 @@ def op2_language(spark: SparkSession, folder: str) -> DataFrame:
     return held_out_languages(table(spark, folder, "documents"))
 
 
+def op3_substring(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(table(spark, folder, "documents"), digests=True)
+
+
 def op4_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     return piece_digests(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -61,6 +66,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         for f in (
             op1_toxicity,
             op2_language,
+            op3_substring,
             op4_sentencepiece,
             op5_exact_dedup,
             op6_repetition,
