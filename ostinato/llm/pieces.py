@@ -38,7 +38,7 @@ class CharacterMap:
     def longest(self, text: bytes, at: int) -> tuple[int, bytes] | None:
         """Length of the longest mapped prefix of ``text[at:]`` and what replaces it."""
         found, node, k = None, 0, at
-        while k < len(text) and (child := self._step(node, text[k])) is not None:
+        while self.units and k < len(text) and (child := self._step(node, text[k])) is not None:
             node, k = child, k + 1
             unit = self.units[node]
             if unit >> 8 & 1:  # a value ends here
@@ -126,7 +126,7 @@ class PieceCodec:
             return ids, ids
         whole, place = self.normalise(text.encode())
         if (ids == self.unknown).any():
-            pieces = self.model.encode(text, out_type="immutable_proto").pieces
+            pieces = self.model.encode(text, return_type="proto").pieces
             lengths = np.array([len(p.piece.encode()) for p in pieces], np.int64)
         else:
             lengths = self.length[ids]
