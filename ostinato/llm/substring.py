@@ -223,7 +223,8 @@ def _suffixes(length: int, width: int, classes: int = 2):
                     for c in range(classes):
                         low, high = edges[c], edges[c + 1] - 1
                         i, j = max(low, at - n + 1), min(high, at)
-                        if i <= j:
+                        # of several texts under one id, a shorter one may end before
+                        if i <= j and trigger - i + length <= len(raw):
                             shared = raw[trigger - low : trigger + width + side - high]
                             key = xxhash.xxh3_64_intdigest(shared, c) - 2**63
                             out.append((key, doc, trigger - j, j - i + 1, raw[trigger - j : trigger - i + length]))
