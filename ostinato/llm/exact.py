@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import materialise
+
 #: White space that two equal texts may differ in: ``[\x20\x09-\x0D]``.
 BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
 
@@ -34,7 +36,7 @@ def exact_duplicates(
     norm = F.col("norm")
     runs = fan**rounds
     entry = ["text_sha256", "check", "n_norm"]
-    leaves = (
+    leaves = materialise(  # the texts are read once
         docs.select(
             F.col(doc_id).alias("doc_id"),
             normalised(text).alias("norm"),
@@ -48,7 +50,6 @@ def exact_duplicates(
             F.length(norm).alias("n_norm"),
             F.pmod(F.xxhash64("doc_id"), F.lit(runs)).alias("run"),
         )
-        .repartition(*entry, "run")  # one exchange serves the leaf merge and the way back
     )
     level = leaves.groupBy(*entry, "run").agg(
         F.min(F.struct((-F.col("n_points")).alias("short"), "doc_id")).alias("best"), F.count("*").alias("size")
