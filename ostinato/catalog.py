@@ -44,7 +44,6 @@ from .sources.sonar import pivot_times
 
 MEASURES = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
 YEAR = 12.0
-POWERS = (1, 2, 4, 6, 8, 12)
 
 
 def rounded(c: Column | str, digits: int = 6) -> Column:
@@ -84,8 +83,17 @@ def platemap(spark: SparkSession, folder: str) -> DataFrame:
 
 def monthly(spark: SparkSession, folder: str) -> DataFrame:
     """Mean of every measure per well and month."""
-    long = cells_long(cells(spark, folder), ["well", "tp"], MEASURES)
-    return long.groupBy("well", "tp", "feature").agg(F.avg("value").alias("mean"))
+    means = cells(spark, folder).groupBy("well", "tp").agg(*[F.avg(c).alias(c) for c in MEASURES])
+    return cells_long(means, ["well", "tp"], MEASURES).withColumnRenamed("value", "mean")
+
+
+def patchy(spark: SparkSession, folder: str) -> DataFrame:
+    """The monthly means with gaps in one measure and series of zeros in another."""
+    gap = (F.col("feature") == "l_tax") & ((F.col("well") + F.col("tp")) % 7 == 0)
+    zero = (F.col("feature") == "l_discount") & (F.col("well") % 10 == 0)
+    lost = (F.col("feature") == "l_discount") & (F.col("well") % 10 == 1)
+    mean = F.when(zero, 0.0).when(~(gap | lost), F.round("mean", 8))  # equal on paper, equal in both engines
+    return monthly(spark, folder).withColumn("mean", mean)
 
 
 def detrended(spark: SparkSession, folder: str) -> DataFrame:
@@ -308,9 +316,8 @@ def gaps(spark, folder):
 
 
 def _dct(spark, folder):
-    data = monthly(spark, folder).where(F.col("feature") == "l_extendedprice")
-    named = data.join(platemap(spark, folder).select("well", "region"), "well")
-    return dct_periods(named, "well", "tp", "mean", ["region"], 1.0, (6, 24))
+    named = monthly(spark, folder).join(platemap(spark, folder).select("well", "region"), "well")
+    return dct_periods(named, "well", "tp", "mean", ["region", "feature"], 1.0, (6, 24))
 
 
 def dct_well_periods(spark, folder):
@@ -321,6 +328,7 @@ def dct_group_summary(spark, folder):
     wells, groups, _ = _dct(spark, folder)
     return groups.select(
         "region",
+        "feature",
         "group_label",
         *[rounded(c).alias(c) for c in ("mean_period", "median_period", "std_period")],
         "n_replicates",
@@ -330,6 +338,7 @@ def dct_group_summary(spark, folder):
 def dct_amplitude_profile(spark, folder):
     return _dct(spark, folder)[2].select(
         "region",
+        "feature",
         rounded("period").alias("period"),
         rounded("mean_amplitude", 4).alias("mean_amplitude"),
         rounded("std_amplitude", 4).alias("std_amplitude"),
@@ -376,20 +385,34 @@ def savgol_smooth(spark, folder):
 
 
 def location(spark, folder):
-    found = map_series(monthly(spark, folder), ["well", "feature"], "tp", "mean", lambda t, v: hodges_lehmann(v), "location")
-    return found.select("well", "feature", rounded("location", 7).alias("location"))
+    found = map_series(patchy(spark, folder), ["well", "feature"], "tp", "mean", lambda t, v: hodges_lehmann(v), "location")
+    return found.select("well", "feature", rounded(F.col("location") + 1.7e-9, 7).alias("location"))
 
 
 def kendall(spark, folder):
+    return kendall_scores(patchy(spark, folder), ["well", "feature"], "tp", "mean", [6, 12])
+
+
+def _jtk(spark, folder):
     # means that are equal on paper must tie in both engines
     means = monthly(spark, folder).withColumn("mean", F.round("mean", 8))
-    return kendall_scores(means, ["well", "feature"], "tp", "mean", [6, 12])
+    return _cosinor(means, JTKCycle([6, 9, 12]))
+
+
+def jtk_curves(spark, folder):
+    fits = _jtk(spark, folder)
+    points = fits.select("well", "feature", F.posexplode(F.arrays_zip("jtk_fitted", "lsq_fitted")).alias("place", "p"))
+
+    def clear(c: str) -> Column:
+        """Rounded where a mean of two rounded values does not lie just between two results."""
+        price = rounded(F.col(f"p.{c}") + 1.7e-9, 6)
+        return F.when(F.col("feature") == "l_extendedprice", price).otherwise(rounded(F.col(f"p.{c}") + 1.7e-9, 8)).alias(c)
+
+    return points.select("well", "feature", "place", clear("jtk_fitted"), clear("lsq_fitted"))
 
 
 def jtk(spark, folder):
-    means = monthly(spark, folder).withColumn("mean", F.round("mean", 8))
-    fits = _cosinor(means, JTKCycle([6, 9, 12]))
-    return fits.select(
+    return _jtk(spark, folder).select(
         "well",
         "feature",
         rounded("p_value", 8).alias("p_value"),
@@ -399,14 +422,17 @@ def jtk(spark, folder):
         rounded("jtk_amplitude", 5).alias("jtk_amplitude"),
         rounded("tau", 8).alias("tau"),
         rounded("jtk_baseline", 10).alias("jtk_baseline"),
+        rounded("lsq_baseline", 5).alias("lsq_baseline"),
         rounded("lsq_amplitude", 5).alias("lsq_amplitude"),
+        rounded("lsq_phase_hours", 5).alias("lsq_phase_hours"),
+        rounded("lsq_n_cycles", 7).alias("lsq_n_cycles"),
         rounded("lsq_r_squared", 7).alias("lsq_r_squared"),
     )
 
 
 def ejtk(spark, folder):
     users = daily_users(spark, folder)
-    fits = fit_series(users, EmpiricalJTK([6, 7, 8], interval=24.0, n_perms=200), "user_id", "feature", "day", "mean", "mean")
+    fits = fit_series(users, EmpiricalJTK([6, 7, 8], interval=24.0), "user_id", "feature", "day", "mean", "mean")
     return fits.drop("jtk_fitted", "lsq_fitted")
 
 
@@ -454,7 +480,7 @@ def connectivity(spark, folder):
 
 
 def scale_free_table(spark, folder):
-    table_ = net.soft_threshold_table(correlation(embedding_matrix(spark, folder)), POWERS)
+    table_ = net.soft_threshold_table(correlation(embedding_matrix(spark, folder)))
     return table_.select(
         F.col("g").alias("label"), "power", rounded("signed_r2").alias("signed_r2"), rounded("mean_connectivity").alias("mean_connectivity")
     )
@@ -548,6 +574,7 @@ def catalog() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "hodges_lehmann": location,
         "kendall_scores": kendall,
         "jtk": jtk,
+        "jtk_curves": jtk_curves,
         "ejtk": ejtk,
         "pearson_corr": _correlated("pearson"),
         "spearman_corr": _correlated("spearman"),

@@ -175,11 +175,17 @@ def _savgol(window: int, order: int) -> str:
     return ", ".join(f"({p}, {q}, {weights[p, q]!r}::DOUBLE)".replace("np.float64(", "").replace(")::", "::") for p in range(window) for q in range(window))
 
 
-def _scores(periods: str) -> str:
+# The monthly means with gaps in one measure and series of zeros, or of nothing, in another.
+PATCHY = f"""{MONTHLY},
+patchy AS (SELECT well, tp, feature, CASE WHEN feature = 'l_discount' AND well % 10 = 0 THEN 0
+    WHEN feature = 'l_tax' AND (well + tp) % 7 = 0 OR feature = 'l_discount' AND well % 10 = 1 THEN NULL ELSE round(mean, 8) END AS mean FROM monthly)"""
+
+
+def _scores(periods: str, source: str = "monthly") -> str:
     """CTEs ending in ``scores``: Kendall S of every series with every reference cosine."""
-    return f"""{MONTHLY},
+    return f"""{PATCHY},
 numbered AS (SELECT well, feature, tp, round(mean, 8) AS x, row_number() OVER s - 1 AS i, count(*) OVER (PARTITION BY well, feature) AS n
-  FROM monthly WINDOW s AS (PARTITION BY well, feature ORDER BY tp)),
+  FROM {source} WINDOW s AS (PARTITION BY well, feature ORDER BY tp)),
 waves AS (SELECT n, period, lag_index, i, cos(i * (2 * 3.1416::DOUBLE / period) + lag_index * (2 * 3.1416::DOUBLE / period) / 2) AS wave
   FROM (SELECT DISTINCT n FROM numbered), (SELECT unnest([{periods}]) AS period),
   LATERAL (SELECT unnest(range(period)) AS lag_index), LATERAL (SELECT unnest(range(n)) AS i)),
@@ -188,7 +194,7 @@ patterns AS (SELECT a.n, a.period, a.lag_index, a.i, b.i AS j, sign(a.rank - b.r
   JOIN ref b ON a.n = b.n AND a.period = b.period AND a.lag_index = b.lag_index AND a.i > b.i),
 pairs AS (SELECT a.well, a.feature, a.n, a.i, b.i AS j, sign(a.x - b.x) AS x FROM numbered a
   JOIN numbered b ON a.well = b.well AND a.feature = b.feature AND a.i > b.i),
-scores AS (SELECT well, feature, n, period, lag_index, CAST(sum(x * c) AS BIGINT) AS s
+scores AS (SELECT well, feature, n, period, lag_index, CAST(coalesce(sum(x * c), 0) AS BIGINT) AS s
   FROM pairs JOIN patterns USING (n, i, j) GROUP BY well, feature, n, period, lag_index)"""
 
 
@@ -221,15 +227,33 @@ best AS (SELECT t.*, amplitude FROM tied t JOIN amplitudes USING (well, feature,
   QUALIFY row_number() OVER (PARTITION BY well, feature ORDER BY amplitude DESC, period, lag_index) = 1),
 base AS (SELECT a.well, a.feature, median((a.x + b.x) / 2) AS baseline FROM numbered a JOIN numbered b
   ON a.well = b.well AND a.feature = b.feature AND a.i >= b.i GROUP BY a.well, a.feature),
-refit AS (SELECT well, feature, var_pop(c) AS cc, var_pop(s) AS ss, covar_pop(c, s) AS cs, covar_pop(x, c) AS yc, covar_pop(x, s) AS ys, var_pop(x) AS yy
-  FROM (SELECT m.well, m.feature, m.x, cos(2 * pi() * m.tp / b.period) AS c, sin(2 * pi() * m.tp / b.period) AS s FROM numbered m
+refit AS (SELECT well, feature, var_pop(c) AS cc, var_pop(s) AS ss, covar_pop(c, s) AS cs, covar_pop(x, c) AS yc, covar_pop(x, s) AS ys, var_pop(x) AS yy,
+    avg(x) AS my, avg(c) AS mc, avg(s) AS ms, (max(tp) - min(tp)) / any_value(period)::DOUBLE AS cycles
+  FROM (SELECT m.well, m.feature, m.x, m.tp, b.period, cos(2 * pi() * m.tp / b.period) AS c, sin(2 * pi() * m.tp / b.period) AS s FROM numbered m
     JOIN best b ON m.well = b.well AND m.feature = b.feature) GROUP BY well, feature),
-slopes AS (SELECT *, (yc * ss - ys * cs) / (cc * ss - cs * cs) AS a, (ys * cc - yc * cs) / (cc * ss - cs * cs) AS b FROM refit)
+slopes AS (SELECT *, (yc * ss - ys * cs) / (cc * ss - cs * cs) AS a, (ys * cc - yc * cs) / (cc * ss - cs * cs) AS b FROM refit),
+found AS (SELECT *, my - a * mc - b * ms AS m, (period + (1 - side) * period / 4.0::DOUBLE - lag_index / 2.0::DOUBLE) % period AS lag,
+    CASE WHEN atan2(b, a) < 0 THEN atan2(b, a) + 2 * pi() ELSE atan2(b, a) END AS phase
+  FROM best JOIN base USING (well, feature) JOIN slopes USING (well, feature))"""
+
+_JTK_TABLE = f"""{_JTK}
 SELECT well, feature, round(p_value, 8) + 0.0 AS p_value, round(adj, 8) + 0.0 AS jtk_corrected_p, period::DOUBLE AS period,
-  (period + (1 - side) * period / 4.0::DOUBLE - lag_index / 2.0::DOUBLE) % period AS jtk_phase_hours,
+  lag AS jtk_phase_hours,
   round(greatest(0, amplitude), 5) + 0.0 AS jtk_amplitude, round(abs(s) / top, 8) + 0.0 AS tau, round(baseline, 10) + 0.0 AS jtk_baseline,
-  round(sqrt(a * a + b * b), 5) + 0.0 AS lsq_amplitude, round((a * yc + b * ys) / yy, 7) + 0.0 AS lsq_r_squared
-FROM best JOIN base USING (well, feature) JOIN slopes USING (well, feature)"""
+  round(m, 5) + 0.0 AS lsq_baseline, round(sqrt(a * a + b * b), 5) + 0.0 AS lsq_amplitude, round(phase / (2 * pi()) * period, 5) + 0.0 AS lsq_phase_hours,
+  round(cycles, 7) + 0.0 AS lsq_n_cycles, round((a * yc + b * ys) / yy, 7) + 0.0 AS lsq_r_squared
+FROM found"""
+
+
+def _clear(c: str) -> str:
+    return f"CASE WHEN feature = 'l_extendedprice' THEN round({c} + 1.7e-9::DOUBLE, 6) ELSE round({c} + 1.7e-9::DOUBLE, 8) END + 0.0"
+
+
+_JTK_CURVES = f"""{_JTK}
+SELECT well, feature, CAST(i AS INTEGER) AS place,
+  {_clear("baseline + greatest(0, amplitude) * cos(2 * pi() * (tp - lag) / period)")} AS jtk_fitted,
+  {_clear("m + a * cos(2 * pi() * tp / period) + b * sin(2 * pi() * tp / period)")} AS lsq_fitted
+FROM numbered JOIN found USING (well, feature)"""
 
 _REDUNDANT = """WITH RECURSIVE {pearson},
 near AS (SELECT label, CAST(substr(a, 2) AS INTEGER) AS i, list(CAST(substr(b, 2) AS INTEGER)) AS js FROM r WHERE abs(r) > 0.4 GROUP BY label, a),
@@ -333,13 +357,13 @@ SELECT round_even(s / 3600.0::DOUBLE / 0.5, 0) * 0.5::DOUBLE AS hour, count(*) A
         "timepoint_gaps": f"""WITH {HOURLY}, steps AS (SELECT event_type, hour, lag(hour) OVER (PARTITION BY event_type ORDER BY hour) AS prev FROM hourly)
 SELECT event_type, CAST(prev AS INTEGER) AS after_hour, CAST(hour AS INTEGER) AS before_hour, CAST(hour - prev - 1 AS INTEGER) AS n_missing,
 array_to_string(range(prev + 1, hour), ',') AS missing_hours FROM steps WHERE hour - prev > 1""",
-        "dct_periods": f"""WITH {_DCT} SELECT well AS "Well", region AS group_label, round(detected_period, 6) + 0.0 AS detected_period
-FROM best WHERE feature = 'l_extendedprice'""",
-        "dct_group_summary": f"""WITH {_DCT} SELECT region, region AS group_label, round(avg(detected_period), 6) + 0.0 AS mean_period,
+        "dct_periods": f"""WITH {_DCT} SELECT well AS "Well", region || ' | ' || feature AS group_label, round(detected_period, 6) + 0.0 AS detected_period
+FROM best""",
+        "dct_group_summary": f"""WITH {_DCT} SELECT region, feature, region || ' | ' || feature AS group_label, round(avg(detected_period), 6) + 0.0 AS mean_period,
 round(median(detected_period), 6) + 0.0 AS median_period, round(stddev_pop(detected_period), 6) + 0.0 AS std_period, count(*) AS n_replicates
-FROM best WHERE feature = 'l_extendedprice' GROUP BY region""",
-        "dct_amplitude_profile": f"""WITH {_DCT} SELECT region, round(period, 6) + 0.0 AS period, round(avg(amplitude), 4) + 0.0 AS mean_amplitude,
-round(stddev_pop(amplitude), 4) + 0.0 AS std_amplitude FROM spectrum WHERE feature = 'l_extendedprice' GROUP BY region, spectrum.period""",
+FROM best GROUP BY region, feature""",
+        "dct_amplitude_profile": f"""WITH {_DCT} SELECT region, feature, round(period, 6) + 0.0 AS period, round(avg(amplitude), 4) + 0.0 AS mean_amplitude,
+round(stddev_pop(amplitude), 4) + 0.0 AS std_amplitude FROM spectrum GROUP BY region, feature, spectrum.period""",
         "period_histogram": f"""WITH {_DCT}, ends AS (SELECT feature, min(detected_period) AS low, max(detected_period) AS high,
 median(detected_period) AS median FROM best GROUP BY feature),
 binned AS (SELECT feature, low, high, median, CAST(least(floor((detected_period - low) / ((high - low) / 20)), 19) AS INTEGER) AS bin
@@ -377,11 +401,12 @@ numbered AS (SELECT event_type, hour, mean, row_number() OVER s - 1 AS i, count(
 placed AS (SELECT *, least(greatest(i - 6, 0), n - 13) AS start FROM numbered)
 SELECT a.event_type, a.hour::INTEGER AS hour, round(sum(b.mean * w.weight), 6) + 0.0 AS smoothed FROM placed a
 JOIN w ON w.p = a.i - a.start JOIN placed b ON b.event_type = a.event_type AND b.i = a.start + w.q GROUP BY a.event_type, a.hour""",
-        "hodges_lehmann": f"""WITH {MONTHLY} SELECT a.well, a.feature, round(median((a.mean + b.mean) / 2), 7) + 0.0 AS location
-FROM monthly a JOIN monthly b ON a.well = b.well AND a.feature = b.feature AND a.tp >= b.tp GROUP BY a.well, a.feature""",
-        "kendall_scores": f"""WITH {_scores("6, 12")}
+        "hodges_lehmann": f"""WITH {PATCHY} SELECT a.well, a.feature, round(coalesce(median((a.mean + b.mean) / 2), 0) + 1.7e-9::DOUBLE, 7) + 0.0 AS location
+FROM patchy a JOIN patchy b ON a.well = b.well AND a.feature = b.feature AND a.tp >= b.tp GROUP BY a.well, a.feature""",
+        "kendall_scores": f"""WITH {_scores("6, 12", "patchy")}
 SELECT well, feature, CAST(period AS INTEGER) AS period, CAST(lag_index AS INTEGER) AS lag_index, s FROM scores""",
-        "jtk": _JTK,
+        "jtk": _JTK_TABLE,
+        "jtk_curves": _JTK_CURVES,
         "redundant_features": _REDUNDANT.format(pearson=PEARSON),
         "pearson_corr": f"WITH {PEARSON} SELECT {_PAIR}, round(r, 6) + 0.0 AS r FROM r",
         "spearman_corr": f"""WITH {EMBEDDED}, x AS (SELECT label, vec_id, dim,
@@ -398,7 +423,7 @@ FROM x a JOIN x b ON a.label = b.label AND a.vec_id = b.vec_id AND a.dim < b.dim
         "connectivity": f"""WITH {PEARSON}, {_both("power((1 + r) / 2, 6)")}
 SELECT label, i AS feature, round(sum(w), 6) + 0.0 AS k FROM both_ways GROUP BY label, i""",
         "scale_free_table": f"""WITH {PEARSON}, {_both("(1 + r) / 2")},
-degrees AS (SELECT label, power, i, sum(power(w, power)) AS k FROM both_ways, (VALUES (1), (2), (4), (6), (8), (12)) AS t(power) GROUP BY label, power, i),
+degrees AS (SELECT label, power, i, sum(power(w, power)) AS k FROM both_ways, (SELECT unnest(range(1, 21)) AS power) GROUP BY label, power, i),
 ends AS (SELECT label, power, min(k) AS low, max(k) AS high, avg(k) AS mean_k FROM degrees GROUP BY label, power),
 bins AS (SELECT label, power, low + (b + 0.5::DOUBLE) * (high - low) / 20 AS centre, count(*) AS n FROM (
     SELECT label, power, low, high, least(floor((k - low) / ((high - low) / 20)), 19) AS b FROM degrees JOIN ends USING (label, power))
@@ -406,7 +431,7 @@ bins AS (SELECT label, power, low + (b + 0.5::DOUBLE) * (high - low) / 20 AS cen
 logs AS (SELECT label, power, log10(centre) AS x, log10(n / sum(n) OVER (PARTITION BY label, power)) AS y FROM bins WHERE centre > 0),
 fits AS (SELECT label, power, CASE WHEN count(*) >= 3 AND var_pop(y) > 0 THEN sign(regr_slope(y, x)) * regr_r2(y, x) ELSE 0 END AS r2
   FROM logs GROUP BY label, power)
-SELECT label, power, round(r2, 6) + 0.0 AS signed_r2, round(mean_k, 6) + 0.0 AS mean_connectivity FROM ends JOIN fits USING (label, power)""",
+SELECT label, CAST(power AS INTEGER) AS power, round(r2, 6) + 0.0 AS signed_r2, round(mean_k, 6) + 0.0 AS mean_connectivity FROM ends JOIN fits USING (label, power)""",
         "tom_edges": f"""WITH {PEARSON}, {_both("power((1 + r) / 2, 2)")},
 degree AS (SELECT label, i, sum(w) AS k FROM both_ways GROUP BY label, i),
 shared AS (SELECT x.label, x.i AS a, y.i AS b, sum(x.w * y.w) AS l FROM both_ways x JOIN both_ways y

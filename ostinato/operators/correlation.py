@@ -47,7 +47,8 @@ class FeatureMatrix:
 def feature_matrix(
     df: DataFrame, group_col: str, well_col: str, timepoint_col: str, feature_col: str, value_col: str
 ) -> FeatureMatrix:
-    """Z-score each feature within its well, then pool the wells of a group."""
+    """Z-score each feature within its well, then pool the wells of a group. A well that has
+    a feature twice at one timepoint is an error."""
     named = df.select(
         F.col(group_col).alias("g"),
         F.col(well_col).alias("well"),
@@ -88,11 +89,13 @@ def feature_matrix(
             "squares",
         )
     )
+    repeated = F.raise_error(F.lit("a well has a feature twice at one timepoint"))
     cells = (
         scored.where(F.col("z").isNotNull())
         .join(features.select("g", "feature", "r", "nf"), ["g", "feature"])
         .join(observations, ["g", "well", "timepoint"])
-        .select("g", "r", "nf", "chunk", "pos", F.col("z").alias("v"))
+        .groupBy("g", "r", "nf", "chunk", "pos")
+        .agg(F.when(F.count("z") > 1, repeated).otherwise(F.max("z")).cast("double").alias("v"))
     )
     return FeatureMatrix(
         cells=materialise(cells),
@@ -193,8 +196,10 @@ def _biweight(matrix: FeatureMatrix) -> tuple[DataFrame, DataFrame]:
 
 def correlation(matrix: FeatureMatrix, method: str = "pearson", cov: DataFrame | None = None) -> DataFrame:
     """``g, a, b, r`` for all feature pairs a < b: ``pearson``, ``spearman`` (average
-    ranks), and the biweight midcorrelation for any other name. An undefined
-    correlation counts as 0. ``cov`` saves the product if it is at hand."""
+    ranks) or ``bicor`` (biweight midcorrelation). An undefined correlation counts as 0.
+    ``cov`` saves the product if it is at hand."""
+    if method not in ("pearson", "spearman", "bicor"):
+        raise ValueError(f"unknown correlation {method!r}")
     if method == "pearson":
         return _scaled(covariance(matrix) if cov is None else cov, row_spread(matrix))
     if method == "spearman":

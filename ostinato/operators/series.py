@@ -17,14 +17,17 @@ DOUBLES = ArrayType(DoubleType())
 
 
 def pack_series(
-    df: DataFrame, keys: Sequence[str], time_col: str, value_col: str, carry: Sequence[str] = ()
+    df: DataFrame, keys: Sequence[str], time_col: str, value_col: str, carry: Sequence[str] = (), whole: bool = False
 ) -> DataFrame:
     """One row per series: ``_t`` and ``_v`` in time order. A series holds one point
     per timepoint, so its length is bounded by the time axis of the experiment.
     Series of zeros only are left out, and so are series with a missing or infinite
-    value. ``carry`` names columns that are constant within a series."""
+    value; with ``whole`` all series stay, and what is missing or infinite is NaN in
+    ``_v``. ``carry`` names columns that are constant within a series."""
     value = F.col(value_col).cast("double")
     bad = value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
+    if whole:
+        value = F.when(bad, F.lit(float("nan"))).otherwise(value)
     # a fixed number of partitions: packed series are few bytes but much work, and would
     # otherwise be coalesced into a handful of tasks
     spread = df.repartition(shuffle_partitions(df.sparkSession), *keys)
@@ -36,7 +39,9 @@ def pack_series(
         F.max(F.abs(value)).alias("_peak"),
         *[F.first(c).alias(c) for c in carry],
     )
-    return packed.where((F.col("_bad") == 0) & (F.col("_peak") > 0)).select(
+    if not whole:
+        packed = packed.where((F.col("_bad") == 0) & (F.col("_peak") > 0))
+    return packed.select(
         *keys, *carry, F.col("_points.t").alias("_t"), F.col("_points.v").alias("_v")
     )
 
@@ -104,8 +109,8 @@ class Detector(ABC):
 
 
 def map_series(df: DataFrame, keys: Sequence[str], time_col: str, value_col: str, function, out: str) -> DataFrame:
-    """One number per series, computed from its times and values."""
-    packed = pack_series(df, keys, time_col, value_col)
+    """One number per series, computed from its times and values (NaN where one is missing)."""
+    packed = pack_series(df, keys, time_col, value_col, whole=True)
     fields = [f for f in packed.schema.fields if f.name in keys]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

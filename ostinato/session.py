@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # checkpoints go when nothing refers to them any more
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # exact percentiles keep their state in an object hash aggregate, which by
     # default turns to a sort after only 128 groups per task
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "20000",

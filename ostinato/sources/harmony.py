@@ -55,7 +55,7 @@ def read_objects(spark: SparkSession, path: str, header_row_index: int = 9) -> D
     """Object table as text columns with cleaned names.
 
     The preamble is read on its own (a handful of lines); the rest stays a splittable
-    text scan, from whose first block exactly these lines are taken out.
+    text scan, which leaves out as many lines from the start of the file's first block.
     """
     lines = spark.read.text(path)
     head = [r.value for r in lines.take(header_row_index + 1)]
@@ -64,7 +64,10 @@ def read_objects(spark: SparkSession, path: str, header_row_index: int = 9) -> D
     names = [clean_header(c) for c in head[header_row_index].strip().split("\t")]
     if len(set(names)) != len(names):
         raise ValueError(f"{path} repeats a column name")
-    data = lines.where(~((F.col("_metadata.file_block_start") == 0) & F.col("value").isin(*head)))
+    # the block at 0 is the longest of one file, so it comes first in the first partition,
+    # whose rows are numbered from 0
+    placed = lines.select("value", F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"))
+    data = placed.where((F.col("_block") > 0) | (F.col("_line") > header_row_index))
     cells = F.split("value", "\t")
     return data.select(*[F.get(cells, F.lit(i)).alias(n) for i, n in enumerate(names)])
 

@@ -19,9 +19,14 @@ def time_columns(df: DataFrame, timepoint_col: str) -> list:
 def pivot_times(
     stats: DataFrame, index: Sequence[str], timepoint_col: str, metric: str, times: Sequence | None = None
 ) -> DataFrame:
-    """One row per ``index`` and one column per timepoint holding ``metric``."""
+    """One row per ``index`` and one column per timepoint holding ``metric``; a second value
+    for the same place is an error."""
     times = time_columns(stats, timepoint_col) if times is None else list(times)
-    return stats.groupBy(*index).pivot(timepoint_col, times).agg(F.first(metric))
+    repeated = F.raise_error(F.lit("a timepoint has two rows"))
+    kind = stats.schema[metric].dataType
+    value = F.when(F.count(F.lit(1)) > 1, repeated).otherwise(F.first(metric)).cast(kind)
+    cells = stats.groupBy(*index, timepoint_col).agg(value.alias(metric))
+    return cells.groupBy(*index).pivot(timepoint_col, times).agg(F.first(metric))
 
 
 def format_sonar(
