@@ -2,8 +2,9 @@
 
 Groups of up to ``LOCAL_ITEMS`` items are clustered whole, one task each: their
 distance matrix has a bounded size. Larger groups are clustered by Spark in rounds
-that merge every pair of clusters which are nearest neighbours of each other. For
-average linkage both give the same tree.
+that merge every pair of clusters which are nearest neighbours of each other. Both take
+equal distances in the order of the clusters' numbers and compute heights from the same
+whole-number sums, so they give the same tree.
 """
 
 from __future__ import annotations
@@ -13,12 +14,13 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
 
 LOCAL_ITEMS = 2048
+UNIT = 2.0**40
 
 # The cut heights tried when none is given.
 CUT_HEIGHTS = tuple(float(h) for h in np.linspace(0.1, 0.99, 35))
@@ -26,39 +28,57 @@ CUT_HEIGHTS = tuple(float(h) for h in np.linspace(0.1, 0.99, 35))
 _MERGE = "g {g}, into int, gone int, height double, size int"
 
 
+def distance_units(d: Column) -> Column:
+    """A distance in whole units of 2 ** -40, so that sums do not depend on their order."""
+    return F.round(d * F.lit(UNIT)).cast("long")
+
+
 def average_linkage(distance: np.ndarray) -> np.ndarray:
-    """Merges ``(into, gone, height, size)`` of a full distance matrix, by following
-    chains of nearest neighbours. A cluster keeps the smaller number of the two."""
+    """Merges ``(into, gone, height, size)`` of a full distance matrix, in whole units. The pair at the smallest distance merges, of equal ones the first by its two numbers; a
+    cluster keeps the smaller number. Every row knows its nearest later cluster, so that a merge
+    only looks again at rows that pointed to either of its two."""
     n = len(distance)
-    d = np.array(distance, float)
-    np.fill_diagonal(d, np.inf)
-    weight = np.ones(n)
+    total = np.rint(np.asarray(distance, float) * UNIT).astype(np.int64)
+    size = np.ones(n, np.int64)
     alive = np.ones(n, bool)
     merges = np.empty((max(n - 1, 0), 4))
-    chain: list[int] = []
+    near, gap = np.zeros(n, np.int64), np.full(n, np.inf)
+
+    def look(a: int) -> None:
+        later = np.flatnonzero(alive[a + 1 :]) + a + 1
+        gap[a] = np.inf
+        if len(later):
+            d = heights(total[a, later], size[a] * size[later])
+            k = int(d.argmin())
+            near[a], gap[a] = later[k], d[k]
+
+    for a in range(n - 1):
+        look(a)
     for step in range(n - 1):
-        if not chain:
-            chain.append(int(np.argmax(alive)))
-        while True:
-            tip = chain[-1]
-            near = int(np.argmin(d[tip]))
-            if len(chain) > 1 and d[tip, chain[-2]] <= d[tip, near]:
-                near = chain[-2]
-                break
-            chain.append(near)
-        height = d[tip, near]
-        del chain[-2:]
-        into, gone = min(tip, near), max(tip, near)
-        row = (weight[into] * d[into] + weight[gone] * d[gone]) / (weight[into] + weight[gone])
-        weight[into] += weight[gone]
-        alive[gone] = False
-        d[into], d[:, into] = row, row
-        d[into, into] = np.inf
-        d[gone], d[:, gone] = np.inf, np.inf
-        merges[step] = into, gone, height, weight[into]
+        into = int(gap.argmin())
+        gone, height = int(near[into]), gap[into]
+        total[into] += total[gone]
+        total[:, into] = total[into]
+        size[into] += size[gone]
+        alive[gone], gap[gone] = False, np.inf
+        merges[step] = into, gone, height, size[into]
+        before = np.flatnonzero(alive[:gone])
+        for a in before[(near[before] == into) | (near[before] == gone)].tolist():
+            look(a)
+        look(into)
+        # an earlier cluster may now be nearer to the merged one than to its own nearest
+        before = before[(before < into) & (near[before] != into)]
+        d = heights(total[before, into], size[before] * size[into])
+        closer = (d < gap[before]) | ((d == gap[before]) & (into < near[before]))
+        gap[before[closer]], near[before[closer]] = d[closer], into
     return merges
 
 
+def heights(total: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """Mean distances from sums in whole units."""
+    return total / pairs.astype(float) / UNIT
+
+
 def cut_labels(merges: np.ndarray, n: int, height: float) -> np.ndarray:
     """Smallest member of the cluster of each item when merges up to ``height`` apply."""
     owner = np.arange(n)
@@ -89,7 +109,7 @@ def _clusters_local(pairs: DataFrame, min_size: int, cut: float | None) -> DataF
         items = np.unique(np.concatenate([pdf["a"].to_numpy(), pdf["b"].to_numpy()]))
         a, b = np.searchsorted(items, pdf["a"]), np.searchsorted(items, pdf["b"])
         full = np.zeros((len(items), len(items)))
-        full[a, b] = full[b, a] = pdf["d"].to_numpy()
+        full[a, b] = full[b, a] = pdf["s"].to_numpy() / UNIT
         labels = flat_clusters(full, min_size, cut)
         return pd.DataFrame({"g": pdf["g"].iloc[0], "r": items, "cluster": items[labels]})
 
@@ -102,6 +122,7 @@ def clusters(
     """``g, r, cluster`` for the items ``g, r`` of all groups; a cluster is named by its
     smallest item. ``pairs`` holds ``g, a, b, d`` for all a < b. Without a ``cut`` each
     group takes the grid height with the most clusters of ``min_size`` items."""
+    pairs = pairs.select("g", "a", "b", distance_units(F.col("d")).alias("s"))
     sizes = items.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
     if (sizes.agg(F.max("n")).first()[0] or 0) <= local_items:
         found = _clusters_local(pairs, min_size, cut)
@@ -123,12 +144,13 @@ def _union(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def _merge_rounds(pairs: DataFrame) -> DataFrame:
-    """The same merges by rounds of mutual nearest neighbours; ``s`` sums item distances."""
-    open_pairs = materialise(pairs.select("g", "a", "b", F.col("d").alias("s"), F.lit(1).alias("na"), F.lit(1).alias("nb")))
+    """The same merges by rounds of mutual nearest neighbours, in the same order of distance
+    and numbers; ``s`` sums item distances in whole units."""
+    open_pairs = materialise(pairs.select("g", "a", "b", "s", F.lit(1).alias("na"), F.lit(1).alias("nb")))
     rounds: list[DataFrame] = []
     while not open_pairs.isEmpty():
         edges = open_pairs.select(
-            "g", F.struct((F.col("s") / (F.col("na") * F.col("nb").cast("double"))).alias("d"), "a", "b", "na", "nb").alias("e")
+            "g", F.struct((F.col("s") / (F.col("na") * F.col("nb").cast("double")) / UNIT).alias("d"), "a", "b", "na", "nb").alias("e")
         )
         ends = edges.select("g", F.explode(F.array("e.a", "e.b")).alias("c"), "e")
         nearest = ends.groupBy("g", "c").agg(F.min("e").alias("e"))

@@ -206,7 +206,7 @@ def test_average_linkage(n, seed):
     want = slow_linkage(d)
     np.testing.assert_allclose(np.sort(merges[:, 2]), [h for h, _ in want])
     for height, members in want:
-        labels = cut_labels(merges, n, height * (1 + 1e-12))
+        labels = cut_labels(merges, n, height * (1 + 1e-9))
         assert len(set(labels[members])) == 1
 
 
@@ -228,6 +228,22 @@ def test_rounds_equal_local_clusters(spark, cut, limit):
         assert local[local["g"] == g]["cluster"].tolist() == flat_clusters(groups[g], 2, cut).tolist()
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_ties_give_one_tree(spark, seed):
+    """Equal distances merge in the order of their numbers, whichever path a group takes."""
+    rng = np.random.default_rng(seed)
+    groups = {}
+    for g in ("x", "y"):
+        d = rng.integers(1, 4, (9, 9)) / 4
+        groups[g] = np.triu(d, 1) + np.triu(d, 1).T
+    pairs, items = pair_frame(spark, groups)
+    for cut in (None, 0.5, 0.55):
+        local, rounds = [
+            clusters(pairs, items, 2, cut, local_items=n).toPandas().sort_values(["g", "r"], ignore_index=True) for n in (100, 2)
+        ]
+        pd.testing.assert_frame_equal(local, rounds)
+
+
 def test_cut_scan_takes_the_first_best_height():
     d = distances(24, 3) / 4
     merges = average_linkage(d)
