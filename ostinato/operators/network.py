@@ -108,13 +108,43 @@ def detect_modules(
     return materialise(number_clusters(labels, min_module_size))
 
 
+# Vectors that the iteration for large modules carries along, and edge of its covariance blocks.
+_PANEL, _EDGE = 12, 256
+# Components whose weights agree to this share count as equal.
+_EQUAL = 1e-9
+
+
+def _start(r: np.ndarray) -> np.ndarray:
+    """An uneven vector over feature numbers, not orthogonal to sign-balanced components."""
+    return 1.0 + (np.asarray(r, np.int64) * 2654435761 % 1009) / 1009.0
+
+
+def _leading(values: np.ndarray, vectors: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """The component that stands for all of equal leading weight: the direction of ``start`` in
+    the space they span, with a positive sum (or first entry, where the sum vanishes)."""
+    top = vectors[:, values >= values.max() * (1 - _EQUAL) - np.finfo(float).tiny]
+    u = top @ (top.T @ start)
+    u /= np.linalg.norm(u) or 1.0
+    total = u.sum()
+    if abs(total) <= 1e-9 * len(u) ** 0.5:
+        total = u[np.argmax(np.abs(u) > 1e-9)]
+    return -u if total < 0 else u
+
+
+def _loading_frame(g, module, items: np.ndarray, u: np.ndarray, scale: float, trace: float) -> pd.DataFrame:
+    return pd.DataFrame(
+        {"g": g, "module": module, "r": items, "loading": u, "scale": max(scale, 0.0), "explained": scale / trace if trace > 0 else 0.0}
+    )
+
+
 def module_loadings(cov: DataFrame, spread: DataFrame, modules: DataFrame, local_items: int = LOCAL_ITEMS) -> DataFrame:
     """``g, module, r, loading, scale, explained``: first principal component of each
     module of two or more features, signed so that it goes with the module's mean.
 
     The component is the leading eigenvector of the members' covariance: ``scale`` is
-    its eigenvalue and ``explained`` its share of the trace. Modules of up to
-    ``local_items`` features are solved one per task, larger ones by power iteration."""
+    its eigenvalue and ``explained`` its share of the trace. Of equal leading components the one
+    nearest to a fixed vector is meant. Modules of up to ``local_items`` features are
+    solved one per task, larger ones by block products under the same rule."""
     member = modules.where(F.col("module") > 0)
     sizes = member.groupBy("g", "module").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     member = member.join(sizes, ["g", "module"])
@@ -134,60 +164,117 @@ def module_loadings(cov: DataFrame, spread: DataFrame, modules: DataFrame, local
         i, j = np.searchsorted(items, pdf["a"]), np.searchsorted(items, pdf["b"])
         full[i, j] = full[j, i] = pdf["cov"].to_numpy()
         values, vectors = np.linalg.eigh(full)
-        u, trace = vectors[:, -1], float(np.trace(full))
-        if u.sum() < 0:
-            u = -u
-        return pd.DataFrame(
-            {
-                "g": pdf["g"].iloc[0],
-                "module": pdf["module"].iloc[0],
-                "r": items,
-                "loading": u,
-                "scale": max(float(values[-1]), 0.0),
-                "explained": float(values[-1]) / trace if trace > 0 else 0.0,
-            }
-        )
+        u = _leading(values, vectors, _start(items))
+        return _loading_frame(pdf["g"].iloc[0], pdf["module"].iloc[0], items, u, float(values[-1]), float(np.trace(full)))
 
     if (sizes.agg(F.max("n")).first()[0] or 0) <= local_items:
         return materialise(entries.groupBy("g", "module").applyInPandas(solve, schema))
     entries = materialise(entries)
     small = entries.where(F.col("n") <= local_items).groupBy("g", "module").applyInPandas(solve, schema)
-    return materialise(small.unionByName(_power_iteration(entries.where(F.col("n") > local_items))))
+    return materialise(small.unionByName(_block_loadings(entries.where(F.col("n") > local_items), schema)))
 
 
-def _power_iteration(entries: DataFrame, tolerance: float = 1e-12, rounds: int = 5000) -> DataFrame:
+def _block_loadings(entries: DataFrame, schema: str, tolerance: float = 1e-9, rounds: int = 200) -> DataFrame:
+    """Leading components of large modules by subspace iteration.
+
+    The covariance stays in square blocks; a panel of a few vectors, as long as the module,
+    is multiplied by all of them at once, and one task per module then turns it to the best
+    vectors it spans. A module is done when its leading residual is small, and its panel is
+    the answer after ``rounds`` in any case: no more than equal weights can be left to sort out."""
     keys = ["g", "module"]
-    mirrored = F.when(
-        F.col("a") != F.col("b"),
-        F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j")), F.struct(F.col("b").alias("i"), F.col("a").alias("j"))),
-    ).otherwise(F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j"))))
-    full = materialise(entries.select(*keys, F.inline(mirrored), "cov"))
-    trace = full.where(F.col("i") == F.col("j")).groupBy(*keys).agg(F.sum("cov").alias("trace"))
-    # an uneven start, so that it is not orthogonal to a sign-balanced component
-    vector = full.select(*keys, F.col("i").alias("r")).distinct().withColumn(
-        "u", 1.0 + F.pmod(F.xxhash64("r"), F.lit(1000)) / 1000.0
+    kind = entries.schema["g"].dataType.simpleString()
+    both = F.array(
+        F.struct(F.col("a").alias("i"), F.col("b").alias("j")), F.struct(F.col("b").alias("i"), F.col("a").alias("j"))
+    )
+    placed = entries.select(*keys, F.inline(both), "cov").select(
+        *keys, "i", "j", "cov", F.floor(F.col("i") / _EDGE).cast("int").alias("p"), F.floor(F.col("j") / _EDGE).cast("int").alias("q")
     )
+
+    def block(pdf: pd.DataFrame) -> pd.DataFrame:
+        dense = np.zeros((_EDGE, _EDGE))
+        dense[pdf["i"] % _EDGE, pdf["j"] % _EDGE] = pdf["cov"]
+        return pdf.iloc[[0]][[*keys, "p", "q"]].assign(mat=[dense.tobytes()])
+
+    head = f"g {kind}, module int"
+    blocks = materialise(placed.groupBy(*keys, "p", "q").applyInPandas(block, f"{head}, p int, q int, mat binary"))
+
+    def begin(pdf: pd.DataFrame) -> pd.DataFrame:
+        items = np.sort(pdf["r"].to_numpy())
+        rng = np.random.default_rng(0)
+        panel = np.column_stack([_start(items), rng.normal(size=(len(items), min(_PANEL, len(items)) - 1))])
+        return _panel_rows(pdf["g"].iloc[0], pdf["module"].iloc[0], items, np.linalg.qr(panel)[0], np.zeros(1), False)
+
+    def turn(panel: pd.DataFrame, product: pd.DataFrame) -> pd.DataFrame:
+        if not len(panel):
+            return panel
+        items = np.concatenate([np.frombuffer(x, np.int64) for x in panel["items"]])
+        width = int(panel["width"].iloc[0])
+        before = np.concatenate([np.frombuffer(x).reshape(-1, width) for x in panel["mat"]])
+        if panel["done"].iloc[0]:
+            return panel
+        after = np.zeros_like(before)
+        at = {int(i): k for k, i in enumerate(items)}
+        for q, raw in zip(product["p"], product["mat"]):
+            rows = np.frombuffer(raw).reshape(_EDGE, width)
+            own = [(at[i], i - q * _EDGE) for i in range(q * _EDGE, (q + 1) * _EDGE) if i in at]
+            if own:
+                here, there = map(list, zip(*own))
+                after[here] += rows[there]
+        values, mix = np.linalg.eigh(before.T @ after)
+        best, image = before @ mix[:, ::-1], after @ mix[:, ::-1]
+        values = values[::-1]
+        left = np.linalg.norm(image[:, 0] - values[0] * best[:, 0])
+        if left <= tolerance * max(abs(values[0]), 1e-300):
+            return _panel_rows(panel["g"].iloc[0], panel["module"].iloc[0], items, best, values, True)
+        return _panel_rows(panel["g"].iloc[0], panel["module"].iloc[0], items, np.linalg.qr(image)[0], values, False)
+
+    shape = f"{head}, q int, items binary, mat binary, width int, weights binary, done boolean"
+    member = entries.select(*keys, F.explode(F.array("a", "b")).alias("r")).distinct()
+    panel = materialise(member.groupBy(*keys).applyInPandas(begin, shape))
+
+    def multiply(batches):
+        for pdf in batches:
+            out = []
+            for mat, items, raw, q, width in zip(pdf["mat"], pdf["items"], pdf["panel"], pdf["q"], pdf["width"]):
+                rows = np.zeros((_EDGE, width))
+                rows[np.frombuffer(items, np.int64) - q * _EDGE] = np.frombuffer(raw).reshape(-1, width)
+                out.append((np.frombuffer(mat).reshape(_EDGE, _EDGE) @ rows).tobytes())
+            yield pdf[[*keys, "p"]].assign(mat=out)
+
     for _ in range(rounds):
-        step = full.join(vector.withColumnRenamed("r", "j"), [*keys, "j"]).groupBy(*keys, F.col("i").alias("r")).agg(
-            F.sum(F.col("cov") * F.col("u")).alias("_x")
-        )
-        norm = step.groupBy(*keys).agg(F.sqrt(F.sum(F.col("_x") * F.col("_x"))).alias("_norm"))
-        scaled = step.join(norm, keys).join(vector, [*keys, "r"])
-        new = materialise(
-            scaled.select(*keys, "r", F.coalesce(F.try_divide("_x", "_norm"), F.lit(0.0)).alias("u"), F.col("u").alias("_old"), "_norm")
-        )
-        vector = new.select(*keys, "r", "u")
-        if (new.agg(F.max(F.abs(F.col("u") - F.col("_old")))).first()[0] or 0.0) <= tolerance:
+        if panel.where("not done").isEmpty():
             break
-    else:
-        raise RuntimeError("a module's two leading components have the same weight")
-    sign = new.groupBy(*keys).agg(F.when(F.sum("u") < 0, -1.0).otherwise(1.0).alias("_sign"), F.max("_norm").alias("_scale"))
-    return new.join(sign, keys).join(trace, keys).select(
-        *keys,
-        "r",
-        (F.col("u") * F.col("_sign")).alias("loading"),
-        F.col("_scale").alias("scale"),
-        F.coalesce(F.try_divide("_scale", "trace"), F.lit(0.0)).alias("explained"),
+        open_ = panel.where("not done").select(*keys, "q", "items", F.col("mat").alias("panel"), "width")
+        product = blocks.join(open_, [*keys, "q"]).mapInPandas(multiply, f"{head}, p int, mat binary")
+        panel = materialise(panel.groupBy(*keys).cogroup(product.groupBy(*keys)).applyInPandas(turn, shape))
+
+    trace = entries.where(F.col("a") == F.col("b")).groupBy(*keys).agg(F.sum("cov").alias("trace"))
+
+    def finish(pdf: pd.DataFrame) -> pd.DataFrame:
+        items = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["items"]])
+        vectors = np.concatenate([np.frombuffer(x).reshape(-1, int(w)) for x, w in zip(pdf["mat"], pdf["width"])])
+        values = np.frombuffer(pdf["weights"].iloc[0])
+        u = _leading(values, vectors, _start(items))
+        return _loading_frame(pdf["g"].iloc[0], pdf["module"].iloc[0], items, u, float(values[0]), float(pdf["trace"].iloc[0]))
+
+    return panel.join(trace, keys).groupBy(*keys).applyInPandas(finish, schema)
+
+
+def _panel_rows(g, module, items: np.ndarray, panel: np.ndarray, weights: np.ndarray, done: bool) -> pd.DataFrame:
+    """The panel of a module cut by blocks of features."""
+    q = items // _EDGE
+    rows = [np.flatnonzero(q == b) for b in np.unique(q)]
+    return pd.DataFrame(
+        {
+            "g": g,
+            "module": module,
+            "q": np.unique(q).astype(np.int32),
+            "items": [items[k].astype(np.int64).tobytes() for k in rows],
+            "mat": [np.ascontiguousarray(panel[k]).tobytes() for k in rows],
+            "width": np.int32(panel.shape[1]),
+            "weights": weights.tobytes(),
+            "done": done,
+        }
     )
 
 

@@ -337,7 +337,30 @@ def test_edges(analyzed, dense):
             assert got[k] == pytest.approx(want[k], abs=1e-9)
 
 
-def test_large_modules_by_power_iteration(analyzed):
+@pytest.mark.parametrize("kind", ["near", "equal", "equal_many"])
+def test_leading_component_at_any_size(spark, kind):
+    """Near and equal leading weights have one answer, whichever path a module takes."""
+    rng = np.random.default_rng(5)
+    n = 30
+    values = np.r_[2.0, {"near": 1.98, "equal": 2.0, "equal_many": 2.0}[kind], np.linspace(0.4, 0.05, n - 2)]
+    if kind == "equal_many":
+        values[:5] = 2.0
+    q = np.linalg.qr(rng.normal(size=(n, n)))[0]
+    full = q @ np.diag(values) @ q.T
+    numbers = np.sort(rng.choice(600, n, replace=False)).tolist()
+    rows = [("g", numbers[a], numbers[b], float(full[a, b])) for a in range(n) for b in range(a + 1, n)]
+    cov = spark.createDataFrame(rows, "g string, a int, b int, cov double")
+    spread = spark.createDataFrame([("g", r, float(full[k, k])) for k, r in enumerate(numbers)], "g string, r int, spread double")
+    modules = spark.createDataFrame([("g", r, 1) for r in numbers], "g string, r int, module int")
+    near, far = [
+        net.module_loadings(cov, spread, modules, local_items=limit).toPandas().sort_values("r", ignore_index=True) for limit in (100, 2)
+    ]
+    np.testing.assert_allclose(near["scale"], 2.0, rtol=1e-9)
+    for c in ("loading", "scale", "explained"):
+        np.testing.assert_allclose(near[c], far[c], rtol=1e-7, atol=1e-7)
+
+
+def test_large_modules_by_blocks(analyzed):
     _, assembled, _ = analyzed
     chosen = assembled.matrix.features.where("feature like 'f%'").selectExpr("g", "r", "cast(1 + (r % 2) as int) as module")
     frames = [
