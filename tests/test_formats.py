@@ -7,7 +7,7 @@ import pytest
 from ostinato.cli import main
 from ostinato.functions.scalar import clean_header, snap_to_grid, strip, well_name, zfill
 from ostinato.sources import envision, harmony
-from ostinato.sources.sonar import format_sonar
+from ostinato.sources.sonar import format_sonar, pivot_times
 from ostinato.sources.tables import read_platemap
 from ostinato.sources.xlsx import read_xlsx
 
@@ -175,3 +175,24 @@ def test_command_line(spark, reports, plate, tmp_path):
     assert wells == {"A01": ("x", 24.0), "A02": ("x", 32.0)}
     group = spark.read.csv(str(tmp_path / "dct" / "period_results.csv"), header=True).first()
     assert (group.Line, float(group.mean_period), float(group.std_period), group.n_replicates) == ("x", 28.0, 4.0, "2")
+
+
+def test_preamble_goes_by_place(spark, tmp_path):
+    """Data rows that look like a preamble line or the header stay."""
+    lines = ["pre"] * 2 + ["Row\tColumn\tTimepoint"] + ["1\t2\t3", "pre", "Row\tColumn\tTimepoint", "4\t5\t6"]
+    path = tmp_path / "objects.txt"
+    path.write_text("\n".join(lines) + "\n")
+    rows = harmony.read_objects(spark, str(path), 2).collect()
+    assert [tuple(r) for r in rows] == [("1", "2", "3"), ("pre", None, None), ("Row", "Column", "Timepoint"), ("4", "5", "6")]
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20")
+        assert sorted(map(str, harmony.read_objects(spark, str(path), 2).collect())) == sorted(map(str, rows))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_second_value_is_refused(spark):
+    stats = spark.createDataFrame([("A", 1, 2.0), ("A", 1, 3.0)], "well string, t int, mean double")
+    with pytest.raises(Exception, match="two rows"):
+        pivot_times(stats, ["well"], "t", "mean").collect()

@@ -17,8 +17,10 @@ from ostinato.operators.jtk import (
     null_distribution,
     patterns,
     permutations,
+    refit_rows,
 )
 from ostinato.operators.plots import JTKFrames
+from ostinato.operators.series import map_series
 from ostinato.plans.detect import detect
 
 finite = st.lists(st.floats(-1e3, 1e3), min_size=1, max_size=30)
@@ -239,3 +241,40 @@ def test_amplitude_uses_full_cycles_only():
     refs = patterns((30,), 20)
     x = np.random.default_rng(8).normal(size=20)
     assert amplitudes(x[None, :], refs.scores(x[None, :]), np.ones((1, 30), bool), refs).tolist() == [[0.0] * 30]
+
+
+def test_refit_equals_least_squares():
+    rng = np.random.default_rng(3)
+    t = np.sort(rng.uniform(0, 50, (6, 20)), axis=1)
+    y = rng.normal(size=(6, 20))
+    y[4] = 3.0
+    period = np.array([24.0, 12, 7.5, 30, 24, 9])
+    numbers, curve = refit_rows(t, y, period)
+    for k in range(6):
+        w = 2 * np.pi / period[k]
+        design = np.column_stack([np.ones(20), np.cos(w * t[k]), np.sin(w * t[k])])
+        m, a, b = np.linalg.lstsq(design, y[k], rcond=None)[0]
+        np.testing.assert_allclose(curve[k], design @ [m, a, b], atol=1e-9)
+        np.testing.assert_allclose(numbers["lsq_baseline"][k], m, atol=1e-9)
+        np.testing.assert_allclose(numbers["lsq_amplitude"][k], np.hypot(a, b), atol=1e-9)
+        if k != 4:
+            np.testing.assert_allclose(numbers["lsq_phase_hours"][k], np.arctan2(b, a) % (2 * np.pi) / w, atol=1e-8)
+            np.testing.assert_allclose(numbers["lsq_r_squared"][k], 1 - np.var(y[k] - design @ [m, a, b]) / np.var(y[k]), atol=1e-9)
+    assert np.isnan(numbers["lsq_r_squared"][4])
+
+
+def test_refit_at_two_points_a_cycle():
+    """The sine vanishes at every timepoint; the smallest solution is meant."""
+    t, y = np.arange(10.0)[None], np.arange(10.0)[None] % 2
+    numbers, curve = refit_rows(t, y, np.array([2.0]))
+    np.testing.assert_allclose(curve, y, atol=1e-9)
+    np.testing.assert_allclose([numbers["lsq_baseline"][0], numbers["lsq_amplitude"][0]], [0.5, 0.5], atol=1e-9)
+
+
+def test_series_with_gaps_and_zeros_stay(spark):
+    rows = [("a", 0, 1.0), ("a", 1, None), ("a", 2, 3.0), ("b", 0, 0.0), ("b", 1, 0.0), ("c", 0, None)]
+    frame = spark.createDataFrame(rows, "w string, t int, v double")
+    found = map_series(frame, ["w"], "t", "v", lambda t, v: hodges_lehmann(v), "location")
+    assert {r.w: r.location for r in found.collect()} == {"a": 2.0, "b": 0.0, "c": 0.0}
+    scores = kendall_scores(frame, ["w"], "t", "v", [2]).collect()
+    assert len(scores) == 6

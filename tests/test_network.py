@@ -401,3 +401,20 @@ def test_wells_alone_and_redundancy(spark, frame, tmp_path):
     results.save(str(tmp_path / "net"))
     again = NetworkResults.load(spark, str(tmp_path / "net"))
     assert again.modules.count() == assembled.features.count()
+
+
+def test_duplicate_cells_are_refused(spark):
+    rows = [("g", "A", float(t), f, float(t * t % 5 + k)) for t in range(12) for k, f in enumerate(("x", "y"))]
+    for repeated in (rows[:1], [("g", "A", 0.0, "x", None)]):
+        frame = spark.createDataFrame(rows + repeated, "g string, well string, t double, feature string, v double")
+        build = lambda: feature_matrix(frame, "g", "well", "t", "feature", "v")  # noqa: B023, E731
+        if repeated[0][-1] is None:  # an empty cell beside a value is no second value
+            assert build().cells.count() == 24
+        else:
+            with pytest.raises(Exception, match="twice at one timepoint"):
+                build()
+
+
+def test_unknown_correlation(analyzed):
+    with pytest.raises(ValueError):
+        correlation(analyzed[1].matrix, "pearsn")
