@@ -512,11 +512,19 @@ def modules(spark, folder):
 
 
 def module_membership(spark, folder):
-    return _network(spark, folder).modules
+    found = _network(spark, folder).modules
+    return found.select(
+        "group_key", "feature", "module_id", rounded("kME").alias("kME"), rounded("variance_explained").alias("variance_explained")
+    )
 
 
 def module_eigengenes(spark, folder):
-    return _network(spark, folder).eigengenes
+    found = _network(spark, folder).eigengenes
+    return found.select("group_key", "well", "timepoint", "feature", rounded("value").alias("value"))
+
+
+def network_edges(spark, folder):
+    return _network(spark, folder).edges.withColumn("weight", rounded("weight"))
 
 
 def eigengene_rhythm(spark, folder):
@@ -525,7 +533,8 @@ def eigengene_rhythm(spark, folder):
     analyzer = NetworkAnalyzer(min_module_size=2, soft_power=1)
     found = analyzer.analyze_all(named, "well", "tp", "feature", "mean", platemap(spark, folder), "region")
     fits = fit_series(found.eigengenes, CosinorDetection(period=YEAR, fitted=False), "well", "feature", "timepoint", "value", "eigengene")
-    return adjust_pvalues(materialise(fits), "fdr_bh")
+    adjusted = adjust_pvalues(materialise(fits), "fdr_bh")
+    return _cosinor_columns(adjusted, rounded("p_adjusted", 8).alias("p_adjusted"))
 
 
 def catalog() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -588,5 +597,6 @@ def catalog() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "modules": modules,
         "module_membership": module_membership,
         "eigengenes": module_eigengenes,
+        "network_edges": network_edges,
         "eigengene_rhythm": eigengene_rhythm,
     }

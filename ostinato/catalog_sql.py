@@ -292,6 +292,92 @@ def _wavelet(metrics: str, tail: str) -> str:
     return f"{_WAVELET} SELECT {metrics} {tail}"
 
 
+def _tree(name: str, items: str, dist: str) -> str:
+    """CTE ``name``: every state of average linkage of ``items`` (g, item) under whole-number
+    distances ``dist`` (g, i, j, u, both ways); ties by the clusters' numbers."""
+    return f"""
+{name}(g, step, height, item, cluster) AS (SELECT g, 0, -1.0::DOUBLE, item, item FROM {items} UNION ALL
+  SELECT c.g, c.step + 1, b.best.d, c.item, CASE WHEN c.cluster = b.best.cb THEN b.best.ca ELSE c.cluster END
+  FROM {name} c JOIN (SELECT g, min({{'d': d, 'ca': ca, 'cb': cb}}) AS best FROM (
+      SELECT x.g, x.cluster AS ca, y.cluster AS cb, sum(u)::DOUBLE / count(*) / power(2.0::DOUBLE, 40) AS d
+      FROM {name} x JOIN {name} y ON x.g = y.g AND x.cluster < y.cluster JOIN {dist} e ON e.g = x.g AND e.i = x.item AND e.j = y.item
+      GROUP BY x.g, x.cluster, y.cluster) GROUP BY g) b ON b.g = c.g)"""
+
+
+def _network(source: str, size: int, power: int, merge: float = 0.25) -> str:
+    """CTEs of a module analysis of ``source`` (g, obs, feature, z)."""
+    units = "CAST(round({d} * power(2.0::DOUBLE, 40)) AS BIGINT)"
+
+    def loadings(tag: str, labels: str) -> str:
+        return f"""
+inside_{tag} AS (SELECT c.g, a.module, c.i, c.j, c.cov FROM cov c JOIN {labels} a ON a.g = c.g AND a.item = c.i
+  JOIN {labels} b ON b.g = c.g AND b.item = c.j AND a.module = b.module WHERE a.module > 0),
+squared_{tag}(g, module, i, j, m, round) AS (SELECT g, module, i, j, cov / sum(cov * cov) OVER (PARTITION BY g, module), 0 FROM inside_{tag} UNION ALL
+  SELECT g, module, i, j, m / sqrt(sum(m * m) OVER (PARTITION BY g, module)), round FROM (
+    SELECT a.g, a.module, a.i, b.j, sum(a.m * b.m) AS m, any_value(a.round) + 1 AS round FROM squared_{tag} a JOIN squared_{tag} b
+      ON a.g = b.g AND a.module = b.module AND a.j = b.i WHERE a.round < 22 GROUP BY a.g, a.module, a.i, b.j)),
+raw_{tag} AS (SELECT g, module, i AS item, sum(m) AS u FROM squared_{tag} WHERE round = 22 GROUP BY g, module, i),
+load_{tag} AS (SELECT g, module, item, u / sqrt(sum(u * u) OVER w) * sign(sum(u) OVER w) AS u FROM raw_{tag} WINDOW w AS (PARTITION BY g, module)),
+scale_{tag} AS (SELECT s.*, ev / trace AS explained FROM (SELECT c.g, c.module, sum(a.u * b.u * c.cov) AS ev, sum(CASE WHEN c.i = c.j THEN c.cov END) AS trace
+  FROM inside_{tag} c JOIN load_{tag} a ON a.g = c.g AND a.module = c.module AND a.item = c.i
+  JOIN load_{tag} b ON b.g = c.g AND b.module = c.module AND b.item = c.j GROUP BY c.g, c.module) s)"""
+    # the leading component is what the matrix, squared again and again, makes of ones
+    return f"""
+sized AS (SELECT g, count(DISTINCT obs) AS n FROM {source} GROUP BY g),
+useful AS (SELECT g, feature, dense_rank() OVER (PARTITION BY g ORDER BY feature) - 1 AS item, sum(z) AS total FROM {source} GROUP BY g, feature HAVING var_pop(z) > 0),
+spots AS (SELECT s.g, item, obs, z FROM {source} s JOIN useful u ON u.g = s.g AND u.feature = s.feature WHERE z IS NOT NULL),
+dots AS (SELECT a.g, a.item AS i, b.item AS j, sum(a.z * b.z) AS dot FROM spots a JOIN spots b ON a.g = b.g AND a.obs = b.obs GROUP BY a.g, a.item, b.item),
+cov AS (SELECT p.g, p.item AS i, q.item AS j, coalesce(dot, 0) / n - p.total * q.total / n / n AS cov FROM useful p JOIN useful q ON p.g = q.g
+  JOIN sized t ON t.g = p.g LEFT JOIN dots d ON d.g = p.g AND d.i = p.item AND d.j = q.item),
+corr AS (SELECT c.g, c.i, c.j, c.cov / sqrt(a.cov * b.cov) AS r FROM cov c JOIN cov a ON a.g = c.g AND a.i = c.i AND a.j = c.i
+  JOIN cov b ON b.g = c.g AND b.i = c.j AND b.j = c.j WHERE c.i <> c.j),
+links AS (SELECT g, i, j, power((1 + r) / 2, {power}) AS w FROM corr),
+degrees AS (SELECT g, i, sum(w) AS k FROM links GROUP BY g, i),
+paths AS (SELECT x.g, x.i, y.i AS j, sum(x.w * y.w) AS l FROM links x JOIN links y ON x.g = y.g AND x.j = y.j AND x.i <> y.i GROUP BY x.g, x.i, y.i),
+tom AS (SELECT e.g, e.i, e.j, least(greatest((coalesce(s.l, 0) + e.w) / (least(p.k, q.k) + 1 - e.w), 0), 1) AS tom FROM links e
+  LEFT JOIN paths s ON s.g = e.g AND s.i = e.i AND s.j = e.j JOIN degrees p ON p.g = e.g AND p.i = e.i JOIN degrees q ON q.g = e.g AND q.i = e.j),
+apart AS (SELECT g, i, j, {units.format(d="(1 - tom)")} AS u FROM tom),
+listed AS (SELECT g, item FROM useful),
+{_tree("tree", "listed", "apart").strip()},
+grid AS (SELECT k, 0.1::DOUBLE + k * (0.99::DOUBLE - 0.1::DOUBLE) / 34 AS h FROM (SELECT unnest(range(35)) AS k)),
+levels AS (SELECT g, k, max(step) AS step FROM (SELECT DISTINCT g, step, height FROM tree), grid WHERE height <= h GROUP BY g, k),
+found AS (SELECT l.g, l.k, l.step, t.cluster, count(*) AS n FROM levels l JOIN tree t ON t.g = l.g AND t.step = l.step GROUP BY ALL),
+chosen AS (SELECT g, step FROM (SELECT g, k, any_value(step) AS step, count(*) FILTER (WHERE n >= {size}) AS many FROM found GROUP BY g, k)
+  QUALIFY row_number() OVER (PARTITION BY g ORDER BY many DESC, k) = 1),
+first_labels AS (SELECT t.g, t.item, CASE WHEN count(*) OVER (PARTITION BY t.g, t.cluster) >= {size} THEN t.cluster END AS c FROM tree t JOIN chosen USING (g, step)),
+parts AS (SELECT g, item, CASE WHEN c IS NULL THEN 0 ELSE dense_rank() OVER (PARTITION BY g ORDER BY c NULLS LAST) END AS module FROM first_labels),
+{loadings("one", "parts").strip()},
+alike AS (SELECT c.g, a.module AS i, b.module AS j, 1 - abs(sum(a.u * b.u * c.cov) / sqrt(any_value(x.ev * y.ev))) AS d FROM cov c
+  JOIN load_one a ON a.g = c.g AND a.item = c.i JOIN load_one b ON b.g = c.g AND b.item = c.j AND a.module <> b.module
+  JOIN scale_one x ON x.g = a.g AND x.module = a.module JOIN scale_one y ON y.g = b.g AND y.module = b.module GROUP BY c.g, a.module, b.module),
+near AS (SELECT g, i, j, {units.format(d="d")} AS u FROM alike),
+mods AS (SELECT DISTINCT g, module AS item FROM parts WHERE module > 0),
+{_tree("joins", "mods", "near").strip()},
+target AS (SELECT g, item AS module, cluster FROM joins WHERE height <= {merge} QUALIFY step = max(step) OVER (PARTITION BY g)),
+regrouped AS (SELECT p.g, p.item, t.cluster, min(p.item) OVER (PARTITION BY p.g, t.cluster) AS first FROM parts p LEFT JOIN target t USING (g, module)),
+labels AS (SELECT g, item, CASE WHEN cluster IS NULL THEN 0 ELSE dense_rank() OVER (PARTITION BY g ORDER BY CASE WHEN cluster IS NOT NULL THEN first END NULLS LAST) END AS module FROM regrouped),
+{loadings("two", "labels").strip()},
+members AS (SELECT l.g, u.feature, l.module, sqrt(s.ev) * d.u / sqrt(v.cov) AS kme, s.explained FROM labels l JOIN useful u USING (g, item)
+  LEFT JOIN load_two d ON d.g = l.g AND d.item = l.item LEFT JOIN scale_two s ON s.g = l.g AND s.module = l.module
+  LEFT JOIN cov v ON v.g = l.g AND v.i = l.item AND v.j = l.item),
+scores AS (SELECT o.g, o.obs, d.module, coalesce(sum(d.u * c.z), 0) - sum(d.u * u.total) / any_value(n) AS score
+  FROM (SELECT DISTINCT g, obs FROM {source}) o JOIN sized USING (g) JOIN load_two d ON d.g = o.g JOIN useful u ON u.g = o.g AND u.item = d.item
+  LEFT JOIN spots c ON c.g = o.g AND c.obs = o.obs AND c.item = d.item GROUP BY o.g, o.obs, d.module)"""
+
+
+_MODULES = f"""WITH RECURSIVE {EMBEDDED}, source AS (SELECT label AS g, vec_id AS obs, dim AS feature, z FROM z),{_network("source", 3, 2)}"""
+
+
+def _eigengene_rhythm() -> str:
+    clean = _detrend("monthly", "well, feature", ("mean",), "clean")
+    return f"""WITH RECURSIVE {MONTHLY}, {PLATEMAP}, {clean},
+source AS (SELECT region AS g, {{'well': well, 'tp': tp}} AS obs, feature, (mean - avg(mean) OVER w) / nullif(stddev_samp(mean) OVER w, 0) AS z
+  FROM clean JOIN platemap USING (well) WINDOW w AS (PARTITION BY well, feature)),{_network("source", 2, 1)},
+eigen AS (SELECT obs.well AS well, obs.tp AS tp, 'Module_' || module AS feature, score AS value FROM scores),
+{_fit("eigen", "well, feature", "12", y="value")}, {_ranked("fit", "")}
+SELECT {_FIT_COLUMNS.replace("'mean'", "'eigengene'")}, round({_BH.format(g="1")}, 8) + 0.0 AS p_adjusted FROM ranked"""
+
+
 def catalog_sql() -> dict[str, str]:
     means = _detrend("monthly", "well, feature", ("mean",), "clean")
     return {
@@ -407,6 +493,14 @@ FROM patchy a JOIN patchy b ON a.well = b.well AND a.feature = b.feature AND a.t
 SELECT well, feature, CAST(period AS INTEGER) AS period, CAST(lag_index AS INTEGER) AS lag_index, s FROM scores""",
         "jtk": _JTK_TABLE,
         "jtk_curves": _JTK_CURVES,
+        "modules": f"{_MODULES} SELECT g AS group_key, feature, module AS module_id FROM members",
+        "module_membership": f"""{_MODULES} SELECT g AS group_key, feature, module AS module_id, round(kme, 6) + 0.0 AS "kME",
+round(explained, 6) + 0.0 AS variance_explained FROM members""",
+        "eigengenes": f"""{_MODULES} SELECT g AS group_key, g AS well, obs AS timepoint, 'Module_' || module AS feature,
+round(score, 6) + 0.0 AS value FROM scores""",
+        "network_edges": f"""{_MODULES} SELECT a.feature AS feature_a, b.feature AS feature_b, round(tom, 6) + 0.0 AS weight, t.g AS group_key
+FROM tom t JOIN useful a ON a.g = t.g AND a.item = t.i JOIN useful b ON b.g = t.g AND b.item = t.j WHERE t.i < t.j AND tom > 0.1""",
+        "eigengene_rhythm": _eigengene_rhythm(),
         "redundant_features": _REDUNDANT.format(pearson=PEARSON),
         "pearson_corr": f"WITH {PEARSON} SELECT {_PAIR}, round(r, 6) + 0.0 AS r FROM r",
         "spearman_corr": f"""WITH {EMBEDDED}, x AS (SELECT label, vec_id, dim,
