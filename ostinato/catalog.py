@@ -191,7 +191,7 @@ def cosinor_time_range(spark, folder):
 def cosinor_multiperiod(spark, folder):
     found = detect_cosinor_multiperiod(
         spark, monthly(spark, folder), platemap(spark, folder), "cycle", "well", "feature", "tp", "mean", "mean",
-        correction_group=["region"],
+        correction_group=["region"], fitted=False,
     )
     return _cosinor_columns(found.results, "period", "region", rounded("p_adjusted", 8).alias("p_adjusted"))
 

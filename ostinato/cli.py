@@ -52,6 +52,7 @@ def parser() -> argparse.ArgumentParser:
     harmony.add_argument("-s", "--sampling-interval", type=float, required=True)
     harmony.add_argument("--header-index", type=int, default=9)
     harmony.add_argument("-i", "--intermediate")
+    harmony.add_argument("--replace", action="store_true", help="empty the output folder first")
     return root
 
 
@@ -95,6 +96,7 @@ def main(argv: list[str] | None = None) -> None:
             args.sampling_interval,
             args.header_index,
             args.intermediate,
+            args.replace,
         )
 
 

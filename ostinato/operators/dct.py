@@ -19,8 +19,10 @@ def dct_spectrum(
     sampling_interval: float = 1.0,
     period_range: tuple[float, float] = (16, 48),
     split: bool = False,
+    norm: str | None = "ortho",
 ) -> DataFrame:
-    """Orthonormal DCT-II amplitudes: one row per ``keys`` and frequency ``k`` whose
+    """DCT-II amplitudes, scaled by ``norm`` (``ortho``; ``forward`` divides the plain sum by
+    the series' length; None or ``backward`` is twice the plain sum): one row per ``keys`` and frequency ``k`` whose
     period ``2 n interval / k`` lies in the closed range.
 
     Only those frequencies are formed; each is a sum over the series, so the partial
@@ -28,6 +30,8 @@ def dct_spectrum(
     order. A series with a missing value is left out. ``split`` numbers the points of
     very long series in range segments."""
     keys = list(keys)
+    scales = {"ortho": F.sqrt(2.0 / F.col("_n")), "forward": 1.0 / F.col("_n"), "backward": F.lit(2.0)}
+    scale = scales[norm or "backward"]
     value = F.col(value_col).cast("double")
     points = df.select(*keys, F.col(time_col).alias("_t"), F.when(~F.isnan(value), value).alias("_x"))
     if split:
@@ -62,7 +66,7 @@ def dct_spectrum(
         "k",
         (F.col("_n") * span / F.col("k")).alias("period"),
         (F.col("k") / (F.col("_n") * span)).alias("frequency"),
-        F.abs(F.col("_sum") * F.sqrt(2.0 / F.col("_n"))).alias("amplitude"),
+        F.abs(F.col("_sum") * scale).alias("amplitude"),
     )
 
 

@@ -20,11 +20,12 @@ def dct_periods(
     grouping_cols: Sequence[str],
     sampling_interval: float = 1.0,
     period_range: tuple[float, float] = (16, 48),
+    norm: str | None = "ortho",
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Detected period per well, its summary per group, and the mean amplitude profile."""
     grouping = list(grouping_cols)
     keys = [*grouping, well_col]
-    spectrum = dct_spectrum(df, keys, timepoint_col, expression_col, sampling_interval, period_range)
+    spectrum = dct_spectrum(df, keys, timepoint_col, expression_col, sampling_interval, period_range, norm=norm)
     best = best_periods(spectrum, keys)
     wells = best.select(F.col(well_col).alias("Well"), label(grouping).alias("group_label"), "detected_period")
     groups = period_summary(best, grouping).select(

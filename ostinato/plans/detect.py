@@ -100,6 +100,29 @@ def _correct_and_write(
     return corrected
 
 
+def _handle(
+    spark, data, results, params, name, well, feature, timepoint, value, stat, out_path, alpha, method, group, start, end
+) -> OscillationResults:
+    return OscillationResults(
+        results=results,
+        data=as_frame(spark, data),
+        well_col=well,
+        feature_col=feature,
+        timepoint_col=timepoint,
+        value_col=value,
+        stat=stat,
+        detector_name=name,
+        detector_params=params,
+        results_path=None if out_path is None else str(out_path),
+        data_path=data if isinstance(data, str) else None,
+        adj_alpha=alpha,
+        adj_method=method,
+        correction_group=list(group or []) or None,
+        start_time=start,
+        end_time=end,
+    )
+
+
 def detect(
     spark: SparkSession,
     data: DataFrame | str,
@@ -128,24 +151,10 @@ def detect(
     source = time_range(source, timepoint_col, start_time, end_time)
     fits = fit_series(source, detector, well_column, feature_col, timepoint_col, value_col, stat)
     results = _correct_and_write(fits, pm, well_column, alpha, adj_method, correction_group, out_path)
-    return OscillationResults(
-        results=results,
-        data=as_frame(spark, data),
-        well_col=well_column,
-        feature_col=feature_col,
-        timepoint_col=timepoint_col,
-        value_col=value_col,
-        stat=stat,
-        detector_name=type(detector).__name__,
-        detector_params=detector.params,
-        results_path=None if out_path is None else str(out_path),
-        data_path=data if isinstance(data, str) else None,
-        adj_alpha=alpha,
-        adj_method=adj_method,
-        correction_group=list(correction_group or []) or None,
-        start_time=start_time,
-        end_time=end_time,
-    )
+    return _handle(
+        spark, data, results, detector.params, type(detector).__name__, well_column, feature_col, timepoint_col, value_col,
+        stat, out_path, alpha, adj_method, correction_group, start_time, end_time,
+    )
 
 
 def detect_cosinor_multiperiod(
@@ -168,11 +177,13 @@ def detect_cosinor_multiperiod(
     intervals: float = 1,
     time_offset: float = 0,
     start_index: float = 0,
+    fitted: bool = True,
 ) -> OscillationResults:
-    """Cosinor, or damped cosinor, with each well's own period from the platemap."""
+    """Cosinor, or damped cosinor, with each well's own period from the platemap.
+    ``fitted=False`` leaves out the curves of the cosinor, so that no series is gathered."""
     pm = read_platemap(spark, platemap)
-    model = DampedCosinorDetection if damped_method else CosinorDetection
-    detector = model(intervals=intervals, time_offset=time_offset, start_index=start_index)
+    times = {"intervals": intervals, "time_offset": time_offset, "start_index": start_index}
+    detector = DampedCosinorDetection(**times) if damped_method else CosinorDetection(**times, fitted=fitted)
     source = as_frame(spark, data).select(well_column, feature_col, timepoint_col, value_col)
     source = time_range(source, timepoint_col, start_time, end_time)
     periods = well_periods(pm, well_column, period_column)
@@ -181,21 +192,8 @@ def detect_cosinor_multiperiod(
     timed = source.join(periods, well_column)
     fits = fit_series(timed, detector, well_column, feature_col, timepoint_col, value_col, stat, "_period")
     results = _correct_and_write(fits, pm, well_column, alpha, adj_method, correction_group, out_path)
-    return OscillationResults(
-        results=results,
-        data=as_frame(spark, data),
-        well_col=well_column,
-        feature_col=feature_col,
-        timepoint_col=timepoint_col,
-        value_col=value_col,
-        stat=stat,
-        detector_name=type(detector).__name__,
-        detector_params={**detector.params, "period": None, "period_column": period_column},
-        results_path=None if out_path is None else str(out_path),
-        data_path=data if isinstance(data, str) else None,
-        adj_alpha=alpha,
-        adj_method=adj_method,
-        correction_group=list(correction_group or []) or None,
-        start_time=start_time,
-        end_time=end_time,
-    )
+    params = {**detector.params, "period": None, "period_column": period_column}
+    return _handle(
+        spark, data, results, params, type(detector).__name__, well_column, feature_col, timepoint_col, value_col,
+        stat, out_path, alpha, adj_method, correction_group, start_time, end_time,
+    )

@@ -84,6 +84,16 @@ def clean_objects(objects: DataFrame, timepoint_col: str, sampling_interval: flo
     return cells.select(well_name(F.col("Row"), F.col("Column")).alias("WellName"), *rest)
 
 
+def _empty_folder(spark: SparkSession, folder: str, inputs: list[str]) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(str(folder))
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    full = system.makeQualified(path).toString().rstrip("/") + "/"
+    if any(p.startswith(full) for p in inputs):
+        raise ValueError(f"{folder} holds the input")
+    system.delete(path, True)
+    system.mkdirs(path)
+
+
 def process_harmony(
     spark: SparkSession,
     root: str,
@@ -92,11 +102,16 @@ def process_harmony(
     sampling_interval: float,
     header_row_index: int = 9,
     intermediate_dir: str | None = None,
+    replace_dir: bool = False,
 ) -> dict[str, dict[str, str]]:
     """Write ``{dataset}._.{object}.analysis_ready.tsv`` for every object table, and the
-    unchanged tables too if an ``intermediate_dir`` is given."""
+    unchanged tables too if an ``intermediate_dir`` is given. ``replace_dir`` empties
+    ``out_dir`` first; else other tables in it stay."""
+    files = list_files(spark, root)
+    if replace_dir:
+        _empty_folder(spark, out_dir, [f.path for f in files])
     written: dict[str, dict[str, str]] = {}
-    for file in list_files(spark, root):
+    for file in files:
         objects = read_objects(spark, file.path, header_row_index)
         stem = f"{file.dataset}._.{file.object_type}"
         if intermediate_dir is not None:

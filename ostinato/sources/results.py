@@ -58,6 +58,18 @@ class OscillationResults:
         """Results at or below ``alpha``, by default the level of the correction."""
         return self.results.where(F.col(filter_col) <= (self.adj_alpha if alpha is None else alpha))
 
+    def skipped(self) -> DataFrame:
+        """Series of the data, with their number of rows in the time range, that have no result:
+        too short, all zero, with a missing value, or of a well without a period."""
+        keys = [self.well_col, self.feature_col]
+        inside = F.lit(True)
+        if self.start_time is not None:
+            inside &= F.col(self.timepoint_col) >= self.start_time
+        if self.end_time is not None:
+            inside &= F.col(self.timepoint_col) <= self.end_time
+        rows = self.data.groupBy(*keys).agg(F.count(F.when(inside, 1)).alias("n_rows"))
+        return rows.join(self.results.select(*keys).distinct(), keys, "left_anti")
+
     def save(self, path: str) -> None:
         """Write ``results``, ``data`` and ``about`` below ``path``; data that already
         lies in a file is referred to by its path."""

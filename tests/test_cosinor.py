@@ -208,3 +208,24 @@ def test_period_histogram(spark):
     assert a["n"].to_dict() == {i: c for i, c in enumerate(counts) if c}
     np.testing.assert_allclose(a["bin_start"], edges[a.index])
     assert set(a["median"]) == {24.0} and got[got["k"] == "b"]["n"].tolist() == [1]
+
+
+def test_skipped_series_are_reported(spark, plate):
+    rows = [("A", "x", float(t), math.cos(t)) for t in range(12)] + [("A", "zero", float(t), 0.0) for t in range(12)]
+    rows += [("A", "gap", float(t), None if t == 3 else 1.0 * t) for t in range(12)] + [("A", "short", 0.0, 1.0)]
+    data = spark.createDataFrame(rows, "well string, feature string, t double, v double")
+    wells = spark.createDataFrame([("A", "p")], "well string, line string")
+    found = detect(spark, data, wells, "well", "feature", "t", "v", "mean", detector=CosinorDetection(period=6), start_time=1)
+    assert {(r.feature, r.n_rows) for r in found.skipped().collect()} == {("zero", 11), ("gap", 11), ("short", 0)}
+
+
+def test_multiperiod_without_curves(spark):
+    rows = [(w, "x", float(t), math.cos(2 * math.pi * t / p)) for w, p in (("A", 6), ("B", 8)) for t in range(24)]
+    data = spark.createDataFrame(rows, "well string, feature string, t double, v double")
+    wells = spark.createDataFrame([("A", 6.0), ("B", 8.0)], "well string, cycle double")
+    full, bare = (
+        detect_cosinor_multiperiod(spark, data, wells, "cycle", "well", "feature", "t", "v", "mean", fitted=f).results for f in (True, False)
+    )
+    assert set(full.columns) - set(bare.columns) == {"fitted"}
+    for a, b in zip(full.collect(), bare.collect(), strict=True):
+        assert (a.well, a.period) == (b.well, b.period) and a.amplitude == pytest.approx(b.amplitude)

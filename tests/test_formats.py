@@ -94,6 +94,13 @@ def test_harmony(spark, plate, tmp_path):
     assert middle.count() == 3 and middle.columns[:2] == ["Row", "Column"]
     with pytest.raises(ValueError):
         harmony.read_objects(spark, files[0].path, 50)
+    other = tmp_path / "out" / "other.tsv"
+    other.write_text("x")
+    for replace in (False, True):
+        harmony.process_harmony(spark, str(plate), str(tmp_path / "out"), "Timepoint", 2.0, replace_dir=replace)
+        assert other.exists() != replace and spark.read.csv(target, sep="\t", header=True).count() == 3
+    with pytest.raises(ValueError):
+        harmony.process_harmony(spark, str(plate), str(plate), "Timepoint", 2.0, replace_dir=True)
 
 
 def test_clean_header():

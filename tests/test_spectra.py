@@ -39,6 +39,24 @@ def test_dct_amplitudes(reads, interval, split):
         np.testing.assert_allclose(part["period"], period[keep])
 
 
+def test_dct_norms(reads):
+    series, df = reads
+    ortho, none, forward = (
+        dct_spectrum(df, ["well"], "t", "v", norm=norm).toPandas().sort_values(["well", "k"])["amplitude"].to_numpy()
+        for norm in ("ortho", None, "forward")
+    )
+    n = np.concatenate([[len(x)] * int((dct_k(len(x))).sum()) for _, x in sorted(series.items())])
+    np.testing.assert_allclose(none, ortho * np.sqrt(2 * n))
+    np.testing.assert_allclose(forward, none / (2 * n))
+    with pytest.raises(KeyError):
+        dct_spectrum(df, ["well"], "t", "v", norm="other")
+
+
+def dct_k(n):
+    period = 2 * n / np.maximum(np.arange(n), 1e-9)
+    return (period >= 16) & (period <= 48)
+
+
 def test_dct_groups(reads):
     series, df = reads
     wells, groups, profile = dct_periods(df, "well", "t", "v", ["line"])
