@@ -107,9 +107,9 @@ def _forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         before = root.copy()
         np.minimum.at(root, root[a], low)
         np.minimum.at(root, root[b], low)
-        while (jump := root[root]).tolist() != root.tolist():
+        while not np.array_equal(jump := root[root], root):
             root = jump
-        if (before == root).all():
+        if np.array_equal(before, root):
             return root
 
 

@@ -5,7 +5,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from ostinato.llm.pii import KINDS, base_spans, find_pii, redact_pii, redacted, sha256_of
+from ostinato.llm.pii import KINDS, _candidates, base_spans, find_pii, redact_pii, redacted, sha256_of
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -56,6 +56,7 @@ def test_random(text):
 def test_long_runs():
     for text in ("1" * 200_000, "a" * 200_000 + "@", "a@" * 50_000, "+1" * 50_000, "1." * 50_000, "1 " * 100_000):
         assert base_spans(text) is not None
+        assert list(_candidates(text, base_spans(text))) is not None
 
 
 def fixture():
