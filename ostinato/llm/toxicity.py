@@ -92,9 +92,9 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
-def _chosen(counts: DataFrame, n_toxic: int, n_clean: int, size: int) -> list[str]:
+def _chosen(counts: DataFrame, n_toxic: int, n_clean: int, size: int, evidence: float) -> list[str]:
     """Of features that toxic rows have more often, the ``size`` that say most about the label,
-    by likelihood ratio."""
+    by the logarithm of the likelihood ratio, of which ``evidence`` is asked for at least."""
 
     def term(seen, rate, total):
         return F.when(seen > 0, seen * F.log(seen / (total * rate))).otherwise(0.0)
@@ -103,8 +103,9 @@ def _chosen(counts: DataFrame, n_toxic: int, n_clean: int, size: int) -> list[st
     rate = (t + c) / F.lit(float(n_toxic + n_clean))
     ratio = term(t, rate, n_toxic) + term(c, rate, n_clean)
     ratio += term(n_toxic - t, 1 - rate, n_toxic) + term(n_clean - c, 1 - rate, n_clean)
-    rows = counts.filter(t + c >= 3).filter((rate < 1) & (t > rate * n_toxic)).orderBy(ratio.desc(), "feature").limit(size)
-    return [r[0] for r in rows.select("feature").collect()]
+    rows = counts.filter((rate < 1) & (t > rate * n_toxic)).select("feature", ratio.alias("ratio"))
+    rows = rows.filter(F.col("ratio") >= evidence).orderBy(F.desc("ratio"), "feature").limit(size)
+    return [r[0] for r in rows.collect()]
 
 
 def _presence(labelled: DataFrame, names: list[str]) -> tuple[list, Counter]:
@@ -156,6 +157,7 @@ def fit_toxicity(
     labels: DataFrame,
     sample: int = 20_000,
     size: int = 4_000,
+    evidence: float = 8.0,
     ridge: float = 1e-4,
     fairness: float = 1.0,
     heed: float = 2.0,
@@ -173,7 +175,7 @@ def fit_toxicity(
 
     At most ``sample`` labelled rows are used, chosen by a hash of their id; they are the bound of
     what is broadcast (their ids) and of what reaches the driver (their features, out of ``size``
-    chosen ones). A toxic row counts ``heed`` times. Rows without a label or text are not learned from; of a repeated id every row counts.
+    chosen ones; ``evidence`` keeps out rare words that are toxic by accident). A toxic row counts ``heed`` times. Rows without a label or text are not learned from; of a repeated id every row counts.
     """
     marked = (
         labels.select(F.col(doc_id).alias("id"), F.col("toxic").cast("int").alias("toxic"))
@@ -187,7 +189,7 @@ def fit_toxicity(
     n_toxic, n_clean = totals.get(1, 0), totals.get(0, 0)
     if not n_toxic or not n_clean:
         return ToxicityModel({}, float(np.log((n_toxic + 0.5) / (n_clean + 0.5))))
-    names = _chosen(feature_counts(labelled), n_toxic, n_clean, size)
+    names = _chosen(feature_counts(labelled), n_toxic, n_clean, size, evidence)
     index = {f: k for k, f in enumerate(names)}
     rows, terms = _presence(labelled, names)
     y = np.array([r[0] for r in rows], float)
