@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.scalar import plate_hours, snap_to_grid, well_name
+from .functions.scalar import plate_hours, snap_to_grid, to_double, well_name
 from .operators import network as net
 from .operators.correlation import correlation, feature_matrix, redundant_features, zscore
 from .operators.cosinor import CosinorDetection, fitted_long
@@ -38,7 +38,8 @@ from .plans.detect import (
 from .plans.network import NetworkAnalyzer
 from .plans.preprocess import clean_signal
 from .session import materialise
-from .sources.envision import timepoint_gaps
+from .sources.envision import data_rows, timepoint_gaps, timepoints
+from .sources.harmony import clean_objects
 from .sources.results import distinct_wells
 from .sources.sonar import pivot_times
 
@@ -312,6 +313,53 @@ def gaps(spark, folder):
     )
 
 
+def harmony_clean(spark, folder):
+    """Line items as objects seen on a plate, all columns as text."""
+    text = [
+        (F.col("l_suppkey") % 16 + 1).alias("Row"),
+        (F.col("l_partkey") % 24 + 1).alias("Column"),
+        F.col("l_linenumber").alias("Timepoint"),
+        F.col("l_orderkey").alias("Order"),
+        F.when(F.col("l_quantity") > 45, "NA").when(F.col("l_quantity") < 3, "").otherwise(F.col("l_quantity").cast("int").cast("string")).alias("Area"),
+        F.col("l_tax").alias("X"),
+    ]
+    objects = table(spark, folder, "lineitem").select(*text)
+    return clean_objects(objects.select(*[F.col(c).cast("string").alias(c) for c in objects.columns]), "Timepoint", 0.5)
+
+
+def _reports(spark, folder):
+    """A plate-reader report for each user: its preamble, a line for each event, and a tail."""
+    cents = F.round(F.col("value") * 100).cast("long").cast("string")
+    line = F.concat_ws(",", "user_id", F.lit(" =\"\"B1 "), "event_type", F.lit("100"), F.lit("0.5"), cents, "event_id")
+    users = table(spark, folder, "events").groupBy("user_id").agg(F.collect_list(line).alias("rows"), F.min("ts").alias("measured"))
+    head = F.array(*map(F.lit, ("Plate information", "Plate,Barcode,Measurement date", "", "Results", "Plate,Barcode,Well,Flashes/Time,MeasTime,Signal,Event")))
+    tail = F.array(F.lit(""), F.lit("Basic assay information"), F.lit("9,after,the,end"))
+    return users.select(F.concat(F.lit("u"), "user_id").alias("file"), "measured", F.concat(head, "rows", tail).alias("lines"))
+
+
+def report_rows(spark, folder):
+    cell = [F.get("cells", F.lit(i)) for i in range(7)]
+    return data_rows(_reports(spark, folder)).select(
+        "file", cell[1].alias("barcode"), cell[2].alias("well"), to_double(cell[5]).alias("signal"), cell[6].cast("long").alias("event")
+    )
+
+
+def report_times(spark, folder):
+    return timepoints(_reports(spark, folder), 0.5).select("file", "hour")
+
+
+def cosinor_heatmap(spark, folder):
+    found = detect(
+        spark, monthly(spark, folder), platemap(spark, folder), "well", "feature", "tp", "mean", "mean",
+        detector=CosinorDetection(period=YEAR, fitted=False),
+    )
+    cells_ = CosinorFrames(found).summary(0.9)
+    return cells_.select(
+        "well", "feature", rounded("amplitude", 4).alias("amplitude"), rounded("phase", 5).alias("phase"),
+        rounded("phase_degrees", 4).alias("phase_degrees"), rounded("p_adjusted", 8).alias("p_adjusted"),
+    )
+
+
 # -- spectra
 
 
@@ -571,6 +619,10 @@ def catalog() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "well_names": well_names,
         "grid_hours": grid_hours,
         "timepoint_gaps": gaps,
+        "harmony_clean": harmony_clean,
+        "report_rows": report_rows,
+        "report_times": report_times,
+        "cosinor_heatmap": cosinor_heatmap,
         "dct_periods": dct_well_periods,
         "dct_group_summary": dct_group_summary,
         "dct_amplitude_profile": dct_amplitude_profile,

@@ -443,6 +443,17 @@ SELECT round_even(s / 3600.0::DOUBLE / 0.5, 0) * 0.5::DOUBLE AS hour, count(*) A
         "timepoint_gaps": f"""WITH {HOURLY}, steps AS (SELECT event_type, hour, lag(hour) OVER (PARTITION BY event_type ORDER BY hour) AS prev FROM hourly)
 SELECT event_type, CAST(prev AS INTEGER) AS after_hour, CAST(hour AS INTEGER) AS before_hour, CAST(hour - prev - 1 AS INTEGER) AS n_missing,
 array_to_string(range(prev + 1, hour), ',') AS missing_hours FROM steps WHERE hour - prev > 1""",
+        "harmony_clean": """SELECT chr(CAST(64 + l_suppkey % 16 + 1 AS INTEGER)) || lpad(CAST(l_partkey % 24 + 1 AS VARCHAR), 2, '0') AS "WellName",
+(l_linenumber - 1) * 0.5::DOUBLE AS "Timepoint", CAST(l_orderkey AS VARCHAR) AS "Order",
+CASE WHEN l_quantity BETWEEN 3 AND 45 THEN CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) END AS "Area" FROM lineitem""",
+        "report_rows": """SELECT 'u' || user_id AS file, 'B1' AS barcode, event_type AS well, round(value * 100)::DOUBLE AS signal, event_id AS event
+FROM events""",
+        "report_times": """WITH first AS (SELECT user_id, min(ts) AS t FROM events GROUP BY user_id)
+SELECT 'u' || user_id AS file, round_even(date_sub('second', (SELECT min(t) FROM first), t) / 3600.0::DOUBLE / 0.5, 0) * 0.5::DOUBLE AS hour FROM first""",
+        "cosinor_heatmap": f"""WITH {MONTHLY}, {_fit("monthly", "well, feature", "12")}, {_ranked("fit", "")},
+adjusted AS (SELECT *, {_BH.format(g="1")} AS adj FROM ranked)
+SELECT well, feature, round(amplitude, 4) + 0.0 AS amplitude, round(phase, 5) + 0.0 AS phase, round(degrees(phase), 4) + 0.0 AS phase_degrees,
+round(adj, 8) + 0.0 AS p_adjusted FROM adjusted WHERE adj <= 0.9""",
         "dct_periods": f"""WITH {_DCT} SELECT well AS "Well", region || ' | ' || feature AS group_label, round(detected_period, 6) + 0.0 AS detected_period
 FROM best""",
         "dct_group_summary": f"""WITH {_DCT} SELECT region, feature, region || ' | ' || feature AS group_label, round(avg(detected_period), 6) + 0.0 AS mean_period,
