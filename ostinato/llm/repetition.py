@@ -125,7 +125,7 @@ def measure(texts: list[str], least: int = WINDOW) -> dict[str, np.ndarray]:
 
 def repetition_rules(
     docs: DataFrame,
-    max_covered: float = 0.25,
+    max_covered: float = 0.3,
     max_longest: float = 0.2,
     least: int = WINDOW,
     doc_id: str = "doc_id",
