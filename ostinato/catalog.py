@@ -406,6 +406,15 @@ def wavelet_ridge(spark, folder):
     return ridge.select("event_type", "name", F.col("time").cast("int").alias("time"), *[rounded(c, 5).alias(c) for c in _RIDGE])
 
 
+def wavelet_power(spark, folder):
+    """Range of the power of every period over time."""
+    reads = hourly_types(spark, folder).withColumn("name", F.lit("events"))
+    power = WaveletAnalyzer((12, 48), 1.0).power(reads, "name", "event_type", "mean", "hour")
+    return power.groupBy("event_type", rounded("period").alias("period")).agg(
+        F.count(F.lit(1)).alias("n"), rounded(F.min("power")).alias("low"), rounded(F.max("power")).alias("high")
+    )
+
+
 def wavelet_fourier(spark, folder):
     fourier = _wavelet(spark, folder).fourier
     return fourier.select("event_type", "name", rounded("period").alias("period"), rounded("power").alias("power"))
@@ -628,6 +637,7 @@ def catalog() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "dct_amplitude_profile": dct_amplitude_profile,
         "period_histogram": periods_found,
         "wavelet_ridge": wavelet_ridge,
+        "wavelet_power": wavelet_power,
         "wavelet_fourier": wavelet_fourier,
         "wavelet_summary": wavelet_summary,
         "ridge_group_stats": ridge_stats,

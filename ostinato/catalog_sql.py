@@ -471,6 +471,10 @@ FROM binned GROUP BY feature, bin""",
             "event_type, name, time, " + ", ".join(f"round({c}, 5) + 0.0 AS {c}" for c in ("periods", "phase", "amplitude", "power")),
             ", round(phase / (2 * pi()) * periods, 5) + 0.0 AS phase_hours FROM ridge",
         ),
+        "wavelet_power": _wavelet(
+            "event_type, round(period, 6) + 0.0 AS period, count(*) AS n, round(min(power), 6) + 0.0 AS low, round(max(power), 6) + 0.0 AS high",
+            "FROM powers GROUP BY event_type, powers.period",
+        ),
         "wavelet_fourier": _wavelet("event_type, name, round(period, 6) AS period, round(power, 6) AS power", "FROM fourier"),
         "wavelet_summary": _wavelet(
             "event_type, 'events' AS name, "

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
@@ -23,7 +23,7 @@ def pack_series(
     per timepoint, so its length is bounded by the time axis of the experiment.
     Series of zeros only are left out, and so are series with a missing or infinite
     value; with ``whole`` all series stay, and what is missing or infinite is NaN in
-    ``_v``. ``carry`` names columns that are constant within a series."""
+    ``_v``. ``carry`` names columns that are constant within a series; others are an error."""
     value = F.col(value_col).cast("double")
     bad = value.isNull() | F.isnan(value) | (F.abs(value) == F.lit(float("inf")))
     if whole:
@@ -37,7 +37,7 @@ def pack_series(
         ).alias("_points"),
         F.max(bad.cast("int")).alias("_bad"),
         F.max(F.abs(value)).alias("_peak"),
-        *[F.first(c).alias(c) for c in carry],
+        *[_constant(c, df.schema[c].dataType).alias(c) for c in carry],
     )
     if not whole:
         packed = packed.where((F.col("_bad") == 0) & (F.col("_peak") > 0))
@@ -46,6 +46,11 @@ def pack_series(
     )
 
 
+def _constant(c: str, kind) -> Column:
+    same = F.min(c).eqNullSafe(F.max(c)) & F.count(c).isin(0, F.count(F.lit(1)))
+    return F.when(same, F.first(c)).otherwise(F.raise_error(F.lit(f"a series has more than one {c}")).cast(kind))
+
+
 class Detector(ABC):
     """An oscillation model. A new one needs ``params``, ``result_fields`` with a
     ``p_value``, and ``fit``; models that Spark SQL can express override ``fit_frame``."""

@@ -108,7 +108,8 @@ class WaveletAnalyzer:
         """Per well one row of arrays: ridge and averaged power."""
         keys = [well_col, name_col]
         named = df.withColumn(name_col, F.coalesce(F.col(name_col).cast("string"), F.lit("None")))
-        packed = pack_series(named, keys, timepoint_col, value_col)
+        # a well with two names is an error
+        packed = pack_series(named, [well_col], timepoint_col, value_col, carry=[name_col])
         arrays = ("_time", "_periods", "_phase", "_amplitude", "_power", "_fourier")
         fields = [f for f in packed.schema.fields if f.name in keys]
         schema = StructType(fields + [StructField(a, ArrayType(DoubleType())) for a in arrays])
@@ -155,6 +156,28 @@ class WaveletAnalyzer:
         )
         return WaveletResults(ridge, fourier, ridge_summary(packed, keys, axis), self.period_axis)
 
+    def power(self, df: DataFrame, name_col: str, well_col: str, stat_val: str, timepoint_col: str) -> DataFrame:
+        """Power of every well at every time and period, the cells of its first panel."""
+        named = df.withColumn(name_col, F.coalesce(F.col(name_col).cast("string"), F.lit("None")))
+        packed = pack_series(named, [well_col], timepoint_col, stat_val, carry=[name_col])
+        keys = [well_col, name_col]
+        fields = [packed.schema[k] for k in keys]
+        lists = [StructField(c, ArrayType(DoubleType())) for c in ("time", "power")]
+        axis, interval = self.period_axis, self.sampling_interval
+
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for k in range(len(batch)):
+                    x = np.asarray(batch["_v"].iloc[k], float)
+                    square = np.abs(wavelet_transform(x, axis, interval)[0]) ** 2
+                    variance = float(np.var(x))
+                    out = batch.iloc[[k] * len(axis)][keys].reset_index(drop=True)
+                    rows = square / variance if variance > 0 else square * 0.0
+                    yield out.assign(period=axis, time=[batch["_t"].iloc[k]] * len(axis), power=list(rows))
+
+        found = packed.mapInPandas(run, StructType([*fields, StructField("period", DoubleType()), *lists]))
+        return found.select(*keys, "period", F.inline(F.arrays_zip("time", "power")))
+
     def smoothed(self, df: DataFrame, keys: Sequence[str], timepoint_col: str, value_col: str, out: str = "smoothed") -> DataFrame:
         return savgol(df, keys, timepoint_col, value_col, self.win_len, self.polyorder, out)
 

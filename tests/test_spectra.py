@@ -140,3 +140,26 @@ def test_savgol(spark, window, order):
     assert got[got["k"] == "short"]["smoothed"].isna().all()
     with pytest.raises(ValueError):
         savgol(df, ["k"], "t", "v", 4, 2)
+
+
+def test_power_of_every_period(spark):
+    rng = np.random.default_rng(2)
+    rows = [(w, "g", float(t), float(v)) for w in "ab" for t, v in enumerate(rng.normal(size=30))]
+    frame = spark.createDataFrame(rows, "well string, line string, t double, v double")
+    analyzer = WaveletAnalyzer((6, 20), 1.0, n_periods=5)
+    power = analyzer.power(frame, "line", "well", "v", "t").toPandas()
+    assert len(power) == 2 * 30 * 5
+    x = np.array([r[3] for r in rows if r[0] == "b"])
+    want = np.abs(wavelet_transform(x, analyzer.period_axis, 1.0)[0]) ** 2 / np.var(x)
+    got = power[power["well"] == "b"].pivot(index="period", columns="time", values="power")
+    np.testing.assert_allclose(got.to_numpy(), want)
+    ridge = analyzer.analyze(frame, "line", "well", "v", "t").ridge.toPandas()
+    top = power.groupby(["well", "time"])["power"].max()
+    np.testing.assert_allclose(ridge.set_index(["well", "time"])["power"].sort_index(), top.sort_index())
+
+
+def test_a_well_has_one_name(spark):
+    rows = [("a", "g" if t else "h", float(t), float(t % 3)) for t in range(20)]
+    frame = spark.createDataFrame(rows, "well string, line string, t double, v double")
+    with pytest.raises(Exception, match="more than one line"):
+        WaveletAnalyzer((6, 20), 1.0).analyze(frame, "line", "well", "v", "t")
