@@ -3,12 +3,12 @@
 A group of F features and N observations is cut into blocks of features and chunks
 of observations. Each block is packed once into a dense matrix, sent to the block
 pairs it belongs to, and multiplied there. Task memory depends on the block sizes
-alone; partial products are summed by Spark.
+alone; partial products stay blocks until they are summed, and only then become pairs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -61,11 +61,23 @@ def gram(cells: DataFrame) -> DataFrame:
                 right = mats[q, chunk]
                 width = min(left.shape[1], right.shape[1])
                 total += left[:, :width] @ right[:, :width].T
+        return pdf.iloc[[0]][["g", "p", "q", "nf"]].assign(mat=[total.tobytes()])
+
+    def unfold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Add the parts of a block pair, one after the other, and list its pairs."""
+        total, first = np.zeros((BLOCK, BLOCK)), None
+        for pdf in batches:
+            for raw in pdf["mat"]:
+                total += np.frombuffer(raw).reshape(BLOCK, BLOCK)
+            first = pdf.iloc[0] if first is None and len(pdf) else first
+        if first is None:
+            return
+        p, q, nf = int(first["p"]), int(first["q"]), int(first["nf"])
         a = np.arange(p * BLOCK, min((p + 1) * BLOCK, nf))
         b = np.arange(q * BLOCK, min((q + 1) * BLOCK, nf))
         left, right = np.meshgrid(a, b, indexing="ij")
         upper = left < right
-        return pd.DataFrame(
+        yield pd.DataFrame(
             {
                 "g": first["g"],
                 "a": left[upper].astype(np.int32),
@@ -74,10 +86,9 @@ def gram(cells: DataFrame) -> DataFrame:
             }
         )
 
-    products = placed.groupBy("g", "p", "q", "part").applyInPandas(
-        multiply, f"g {group_type}, a int, b int, dot double"
-    )
-    return products.groupBy("g", "a", "b").agg(F.sum("dot").alias("dot"))
+    head = f"g {group_type}, p int, q int, nf int, mat binary"
+    products = placed.groupBy("g", "p", "q", "part").applyInPandas(multiply, head)
+    return products.groupBy("g", "p", "q").applyInPandas(unfold, f"g {group_type}, a int, b int, dot double")
 
 
 def both_ways(pairs: DataFrame, columns: Sequence[str]) -> DataFrame:
