@@ -18,22 +18,28 @@ from .graph import components
 BITS, BLOCK = 64, 8
 
 
-def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
-    """64-bit majority of the shingles' hashes; A-Z is lower-cased, words are separated by
-    ``[\\x20\\x09-\\x0D]``; fewer words than ``width`` make one shingle, none give zero."""
+def shingle_hashes(text: str, width: int = 3, seed: int = 42) -> np.ndarray:
+    """Hash of each shingle; A-Z is lower-cased, words are separated by ``[\\x20\\x09-\\x0D]``;
+    fewer words than ``width`` make one shingle, none make none."""
     words = text.encode().lower().split()
     if not words:
-        return 0
+        return np.array([], np.uint64)
     whole = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
+    digest = xxhash.xxh64_intdigest
     if len(words) <= width:
-        hashes = [xxhash.xxh64_intdigest(whole, seed)]
-    else:
-        stop = ends[width - 1 :].tolist()
-        start = [0, *(ends[: len(words) - width] + 1).tolist()]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(whole[i:j], seed) for i, j in zip(start, stop, strict=True)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        return np.array([digest(whole, seed)], np.uint64)
+    stop = ends[width - 1 :].tolist()
+    start = [0, *(ends[: len(words) - width] + 1).tolist()]
+    return np.array([digest(whole[i:j], seed) for i, j in zip(start, stop, strict=True)], np.uint64)
+
+
+def fingerprint(text: str, width: int = 3, seed: int = 42) -> int:
+    """64-bit majority of the shingles' hashes; a text without words has zero."""
+    hashes = shingle_hashes(text, width, seed)
+    if not len(hashes):
+        return 0
+    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     major = 2 * bits.sum(0, dtype=np.int64) > len(hashes)
     return int(np.packbits(major, bitorder="little").view("<u8")[0])
 
