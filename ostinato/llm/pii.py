@@ -77,7 +77,7 @@ def _candidates(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[
     loose = []
     if "@" in text or "(at)" in text or "[at]" in text:
         loose += [([0], *m.span()) for m in ADDRESS.finditer(text)]
-    for m in NUMBER.finditer(text):
+    for m in NUMBER.finditer(text) if DIGIT.search(text) else ():
         n = len(DIGIT.findall(m[0]))
         kinds = [2] * (12 <= n <= 19) + [3] * (7 <= n <= 15)
         if kinds:
@@ -117,7 +117,7 @@ def mentions(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
                     spans = base_spans(t)
                     base.append([{"kind": k, "start": a, "end": b} for k, a, b in spans])
                     seen = [([k], a, b, True) for k, a, b in spans]
-                    seen += [(k, a, b, False) for k, a, b in _candidates(t, spans)] if len(spans) or DIGIT.search(t) or "@" in t else []
+                    seen += [(k, a, b, False) for k, a, b in _candidates(t, spans)]
                     around.append(
                         [
                             {

@@ -5,7 +5,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from ostinato.llm.pii import KINDS, _candidates, base_spans, find_pii, redact_pii, redacted, sha256_of
+from ostinato.llm.pii import KINDS, _candidates, base_spans, find_pii, mentions, redact_pii, redacted, sha256_of
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
@@ -106,3 +106,15 @@ def test_masking(spark):
         for i, t, n in [(1, "ip [IP], mail [EMAIL]!", 22)] * 2 + [(2, None, None), (None, "[PHONE]", 7), (3, "é", 1)]
     )
     assert redacted("0123456789", "email:2:6,ip:2:4,card:5:7,phone:8:9") == "01[EMAIL]67[PHONE]9"
+
+
+def test_address_without_digits(spark):
+    """Texts with neither a digit nor an at sign still have loose mentions."""
+    rows = [(i, f"please write to {'abcdefgh'[i]}x@example.com for details") for i in range(8)]
+    rows += [(20, "please write to jane(at)example.com for details"), (21, "please write to joe[at]example.com for details"), (22, "no one (at) home")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    more = {r.doc_id: r.spans for r in find_pii(docs).collect() if r.n_more}
+    assert more == {20: "email:16:35", 21: "email:16:34"}
+    assert redact_pii(docs).filter("doc_id = 20").first().text == "please write to [EMAIL] for details"
+    seen = mentions(spark.createDataFrame([(1, "host de:ad:be:ef is up")], "doc_id long, text string")).first().mentions
+    assert [(m.kinds, m.value) for m in seen] == [([1], "de:ad:be:ef")]
