@@ -38,7 +38,7 @@ from .plans.detect import (
 from .plans.network import NetworkAnalyzer
 from .plans.preprocess import clean_signal
 from .session import materialise
-from .sources.envision import data_rows, timepoint_gaps, timepoints
+from .sources.envision import data_lines, timepoint_gaps, timepoints
 from .sources.harmony import clean_objects
 from .sources.results import distinct_wells
 from .sources.sonar import pivot_times
@@ -328,18 +328,29 @@ def harmony_clean(spark, folder):
 
 
 def _reports(spark, folder):
-    """A plate-reader report for each user: its preamble, a line for each event, and a tail."""
+    """A plate-reader report for each user: its file, and when it was measured."""
+    users = table(spark, folder, "events").groupBy("user_id").agg(F.min("ts").alias("measured"))
+    return users.select(F.concat(F.lit("u"), "user_id").alias("file"), "measured")
+
+
+def _report_lines(spark, folder):
+    """A row for each line of these reports: a preamble, a line for each event, and a tail."""
     cents = F.round(F.col("value") * 100).cast("long").cast("string")
     line = F.concat_ws(",", "user_id", F.lit(" =\"\"B1 "), "event_type", F.lit("100"), F.lit("0.5"), cents, "event_id")
-    users = table(spark, folder, "events").groupBy("user_id").agg(F.collect_list(line).alias("rows"), F.min("ts").alias("measured"))
-    head = F.array(*map(F.lit, ("Plate information", "Plate,Barcode,Measurement date", "", "Results", "Plate,Barcode,Well,Flashes/Time,MeasTime,Signal,Event")))
-    tail = F.array(F.lit(""), F.lit("Basic assay information"), F.lit("9,after,the,end"))
-    return users.select(F.concat(F.lit("u"), "user_id").alias("file"), "measured", F.concat(head, "rows", tail).alias("lines"))
+    head = ("Plate information", "Plate,Barcode,Measurement date", "", "Results", "Plate,Barcode,Well,Flashes/Time,MeasTime,Signal,Event")
+    tail = ("", "Basic assay information", "9,after,the,end")
+
+    def number(part, place):
+        return F.struct(F.lit(part).alias("part"), place.cast("long").alias("place")).alias("number")
+
+    events = table(spark, folder, "events").select(F.concat(F.lit("u"), "user_id").alias("file"), number(1, F.col("event_id")), line.alias("line"))
+    around = F.array(*[F.struct(number(p, F.lit(k)), F.lit(t).alias("line")) for p, part in ((0, head), (2, tail)) for k, t in enumerate(part)])
+    return _reports(spark, folder).select("file", F.inline(around)).union(events)
 
 
 def report_rows(spark, folder):
     cell = [F.get("cells", F.lit(i)) for i in range(7)]
-    return data_rows(_reports(spark, folder)).select(
+    return data_lines(_report_lines(spark, folder)).select(
         "file", cell[1].alias("barcode"), cell[2].alias("well"), to_double(cell[5]).alias("signal"), cell[6].cast("long").alias("event")
     )
 

@@ -97,25 +97,25 @@ def header_names(header: str) -> list[str]:
 
 
 def data_rows(reports: DataFrame) -> DataFrame:
-    """``file, header, cells``: the lines below the data header whose first cell is a
-    number, up to the first that is not."""
+    """data_lines of reports that are a row each."""
+    return data_lines(reports.select("file", F.posexplode("lines").alias("number", "line")))
 
-    def is_header(line):
-        return F.forall(F.array(*[F.lit(h) for h in DATA_HEADERS]), lambda h: F.array_contains(_cells(line), h))
 
-    at = F.array_position(F.transform("lines", is_header), True)
-    below = reports.withColumn("_at", at.cast("int")).withColumn(
-        "_rest", F.slice("lines", F.col("_at") + 1, F.greatest(F.size("lines") - F.col("_at"), F.lit(0)))
-    )
-    stop = F.array_position(F.transform("_rest", lambda line: ~F.trim(F.split(line, ",")[0]).rlike("^[0-9]+$")), True)
-    kept = F.when(stop > 0, F.slice("_rest", F.lit(1), (stop - 1).cast("int"))).otherwise(F.col("_rest"))
-    header = F.coalesce(
-        F.when(F.col("_at") > 0, F.get("lines", F.col("_at") - 1)),
-        F.raise_error(F.concat(F.lit("no data header in "), F.col("file"))).cast("string"),
-    )
-    return below.select("file", header.alias("header"), F.explode(kept).alias("line")).select(
-        "file", "header", _cells("line").alias("cells")
+def data_lines(lines: DataFrame) -> DataFrame:
+    """``file, header, cells``: the lines below the data header whose first cell is a
+    number, up to the first that is not. ``lines`` has a row for each line: ``file``,
+    ``number`` (anything that orders the lines of a file) and ``line``; no report is gathered."""
+    is_header = F.forall(F.array(*[F.lit(h) for h in DATA_HEADERS]), lambda h: F.array_contains(_cells("line"), h))
+    heads = lines.groupBy("file").agg(F.min(F.when(is_header, F.struct("number", "line"))).alias("_head"))
+    heads = heads.select(
+        "file",
+        F.coalesce("_head", F.raise_error(F.concat(F.lit("no data header in "), F.col("file")))).alias("_head"),
     )
+    below = lines.join(heads, "file").filter(F.col("number") > F.col("_head.number"))
+    is_data = F.trim(F.split("line", ",")[0]).rlike("^[0-9]+$")
+    stops = below.filter(~is_data).groupBy("file").agg(F.min("number").alias("_stop"))
+    kept = below.join(stops, "file", "left").filter(F.col("_stop").isNull() | (F.col("number") < F.col("_stop")))
+    return kept.select("file", F.col("_head.line").alias("header"), _cells("line").alias("cells"))
 
 
 def parse_reports(spark: SparkSession, path: str, sampling_interval: float = 1.0) -> tuple[DataFrame, DataFrame]:

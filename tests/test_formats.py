@@ -1,9 +1,11 @@
+import datetime
 import zipfile
 
 import numpy as np
 import pandas as pd
 import pytest
 
+from ostinato.catalog import catalog
 from ostinato.cli import main
 from ostinato.functions.scalar import clean_header, snap_to_grid, strip, well_name, zfill
 from ostinato.sources import envision, harmony
@@ -55,6 +57,27 @@ def test_envision(spark, reports, tmp_path):
     assert written.count() == 5 and written.columns == data.columns
 
 
+def test_report_lines(spark):
+    header = "Plate,Barcode,Well"
+    lines = {"a": ["x", header, "1,p,A1", "2,p,A2", "", "3,p,A3"], "b": ["9,p,A0", header, "4,q,B1"], "c": [header, "no,p,A1", "5,p,A2"]}
+    rows = [(f, k, line) for f, part in lines.items() for k, line in enumerate(part)]
+    got = envision.data_lines(spark.createDataFrame(rows[::-1], "file string, number int, line string")).collect()
+    assert sorted((r.file, r.cells[0]) for r in got) == [("a", "1"), ("a", "2"), ("b", "4")]
+    assert {r.header for r in got} == {header}
+    with pytest.raises(Exception, match="no data header in d"):
+        envision.data_lines(spark.createDataFrame([("d", 0, "1,2")], "file string, number int, line string")).collect()
+
+
+@pytest.mark.parametrize("query", ["report_rows", "report_times"])
+def test_reports_are_not_gathered(spark, tmp_path, query):
+    rows = [(k, 7 if k % 3 else k, datetime.datetime(2024, 1, 1), "view", 1.5) for k in range(30)]
+    events = spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp, event_type string, value double")
+    events.write.parquet(str(tmp_path / "events.parquet"))
+    found = catalog()[query](spark, str(tmp_path))
+    assert found.count() == (30 if query == "report_rows" else 11)
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_envision_refuses(spark, tmp_path):
     report(tmp_path / "x.csv", "no date", [("A01", "1", "2")])
     with pytest.raises(Exception, match="no measurement date"):
