@@ -2,58 +2,17 @@
 
 from __future__ import annotations
 
-import os
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
 from ..session import materialise
 from .common import batch_steps
-
-#: Texts whose characters lower-case one by one and are composed already.
-PLAIN = re.compile("[\\t-\\r -~À-ÖØ-öø-ÿ]*")
-#: What the tokenizer keeps apart in them, in its order: contractions, letters, digits, other signs.
-PART = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿ]+|[0-9]|[^\\sa-z0-9à-öø-ÿ]+")
-
-
-class WordIds:
-    """Token ids of texts. The tokenizer splits a text into parts and never joins what it has split,
-    so a part always has the same ids and is encoded once; texts of other characters are left whole."""
-
-    def __init__(self, path: str, limit: int = 800_000):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.parts: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        split = [PART.findall(t.lower()) if PLAIN.fullmatch(t) and "<|" not in t else None for t in texts]
-        if len(self.parts) > self.limit:
-            self.parts = {}
-        missing = set().union(*(parts for parts in split if parts))
-        missing -= self.parts.keys()
-        names = list(missing)
-        self.parts.update(zip(names, self._encode(names), strict=True))
-        known = self.parts.__getitem__
-        rest = iter(self._encode([t for t, parts in zip(texts, split, strict=True) if parts is None]))
-        return [next(rest) if parts is None else b"".join(map(known, parts)) for parts in split]
-
-
-@lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    """One encoder for all tasks of a worker, so that they share what it has learned."""
-    return WordIds(path)
+from .tokens import text_ids
 
 
 def cut_documents(
@@ -73,7 +32,7 @@ def cut_documents(
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = word_ids(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, last = text_ids(tokenizer), np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for rows, texts in batch_steps(batch, "text"):
                 row, piece, parts = [], [], []

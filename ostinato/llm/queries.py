@@ -17,6 +17,7 @@ from .pii import find_pii
 from .repetition import repetition_rules
 from .simhash import near_duplicates
 from .substring import remove_repeats
+from .tokenfiles import token_file_digests
 from .toxicity import held_out_toxicity
 
 
@@ -60,6 +61,10 @@ def op10_pii(spark: SparkSession, folder: str) -> DataFrame:
     return find_pii(table(spark, folder, "documents")).drop("text_hash")
 
 
+def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_file_digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -74,6 +79,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_extraction,
             op9_simhash,
             op10_pii,
+            op11_token_files,
         )
     }
 
