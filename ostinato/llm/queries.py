@@ -19,6 +19,7 @@ from .simhash import near_duplicates
 from .substring import remove_repeats
 from .tokenfiles import token_file_digests
 from .toxicity import held_out_toxicity
+from .whitening import whiten
 
 
 def op1_toxicity(spark: SparkSession, folder: str) -> DataFrame:
@@ -65,6 +66,10 @@ def op11_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_file_digests(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -80,6 +85,7 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_simhash,
             op10_pii,
             op11_token_files,
+            op12_whitening,
         )
     }
 
