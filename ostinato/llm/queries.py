@@ -14,6 +14,7 @@ from .langid import held_out_languages
 from .packing import pack_documents
 from .pieces import piece_digests
 from .pii import find_pii
+from .ranked import RANKED_SQL, ranked_search
 from .repetition import repetition_rules
 from .simhash import near_duplicates
 from .substring import remove_repeats
@@ -70,6 +71,10 @@ def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
     return whiten(table(spark, folder, "embeddings"))
 
 
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    return ranked_search(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -86,12 +91,13 @@ def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op10_pii,
             op11_token_files,
             op12_whitening,
+            op13_ranked_search,
         )
     }
 
 
 def llm_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": EXACT_SQL}
+    return {"op5_exact_dedup": EXACT_SQL, "op13_ranked_search": RANKED_SQL}
 
 
 EXACT_SQL = r"""

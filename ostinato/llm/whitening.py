@@ -40,7 +40,7 @@ def _whole_vectors(column: pa.Array, scale: int, size: int) -> tuple[np.ndarray,
     at = np.arange(size)[None, :] < lengths[:, None]
     source = (offsets[:-1][good][:, None] + np.arange(size)[None, :])[at]
     out[at] = np.floor(scale * values[source])
-    if len(out) and np.abs(out).max() >= 2.0**62:
+    if np.abs(out).max(initial=0) >= 2.0**62:
         raise OverflowError("an entry times the scale does not fit a long")
     return good, out.astype(np.int64)
 
