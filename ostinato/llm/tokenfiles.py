@@ -103,10 +103,10 @@ def _tokenised(docs: DataFrame, tokenizer: str, end_id: int, kind: str, doc_id:
     """doc_id and tokens (ids as numbers of the given kind, the end id last)."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, last = text_ids(tokenizer), np.array([end_id], "<u4").tobytes()
+        encode, last = text_ids(tokenizer, "H" if kind == "<u2" else "I"), np.array([end_id], kind).tobytes()
         for batch in batches:
             for rows, texts in batch_steps(batch, "text"):
-                ids = pa.array([np.frombuffer(x + last, "<u4").astype(kind).tobytes() for x in encode(texts)], pa.binary())
+                ids = pa.array([x + last for x in encode(texts)], pa.binary())
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id"), ids], ["doc_id", "tokens"])
 
     named = docs.schema[doc_id].dataType.simpleString()
@@ -162,7 +162,7 @@ def write_token_files(
     folder = folder or _shared_folder(spark, "tokens")
     size = Tokenizer.from_file(tokenizer).get_vocab_size()
     kind = "<u2" if max(size - 1, end_id) <= 0xFFFF else "<u4"
-    _tokenised(docs, tokenizer, end_id, kind, doc_id, text).write.parquet(f"{folder}/encoded")
+    _tokenised(docs, tokenizer, end_id, kind, doc_id, text).write.parquet(f"{folder}/encoded", compression="zstd")
     encoded = spark.read.parquet(f"{folder}/encoded")
     ids = _frequency_ranks(encoded, kind)
     store, path = _place(f"{folder}/{RANKS}")

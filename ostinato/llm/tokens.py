@@ -50,17 +50,18 @@ class TextIds:
     Texts of plain characters are split into the parts that the tokenizer keeps apart, other texts
     into chunks between cuts; each is encoded by the library once and then looked up. A byte-level
     pattern never has a space inside or at the end of a part, except in a run of white space; so a
-    part begins at each space that has no white space beside it. ``limit`` bounds the memory."""
+    part begins at each space that has no white space beside it. Up to twice ``limit`` of them are remembered, those used last."""
 
-    def __init__(self, path: str, limit: int = 900_000):
+    def __init__(self, path: str, code: str = "I", limit: int = 450_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
+        self.tokenizer, self.code, self.limit = Tokenizer.from_file(path), code, limit
         self.cut = _cut(self.tokenizer)
         self.added = [t.content[:2].lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _split(self, text: str) -> list[str]:
         plain = PLAIN.fullmatch(text) and not any(a in text.lower() for a in self.added)
@@ -74,19 +75,24 @@ class TextIds:
         return [first, *[f" {c}" for c in rest]]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
+        """Ids of each text one after the other, as unsigned numbers of the array type ``code``."""
         if self.cut == "never":
             return self._encode(texts)
         split = [self._split(t) for t in texts]
-        if len(self.known) > self.limit:
-            self.known = {}
-        missing = list(set().union(*split) - self.known.keys())
-        self.known.update(zip(missing, self._encode(missing), strict=True))
-        known = self.known.__getitem__
-        return [b"".join(map(known, parts)) for parts in split]
+        if len(self.known) > self.limit:  # what has not been used since the last time goes
+            self.known, self.older = {}, self.known
+        found = [list(map(self.known.get, parts)) for parts in split]
+        missing = {p for parts, ids in zip(split, found, strict=True) if None in ids for p, x in zip(parts, ids, strict=True) if x is None}
+        kept = {p: self.older[p] for p in missing if p in self.older}
+        new = list(missing - kept.keys())
+        self.known |= kept
+        self.known.update(zip(new, self._encode(new), strict=True))
+        return [
+            b"".join(ids if None not in ids else map(self.known.__getitem__, parts)) for parts, ids in zip(split, found, strict=True)
+        ]
 
 
 @lru_cache(maxsize=4)
-def text_ids(path: str) -> TextIds:
+def text_ids(path: str, code: str = "I") -> TextIds:
     """One encoder for all tasks of a worker, so that they share what it has learned."""
-    return TextIds(path)
+    return TextIds(path, code)
