@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from .functions.scalar import plate_hours, snap_to_grid, to_double, well_name
 from .operators import network as net
+from .operators.blocks import unfold
 from .operators.correlation import correlation, feature_matrix, redundant_features, zscore
 from .operators.cosinor import CosinorDetection, fitted_long
 from .operators.damped import DampedCosinorDetection
@@ -519,6 +520,8 @@ def periods_found(spark, folder):
 
 
 def _named_pairs(matrix, pairs: DataFrame, value: str, out: str, digits: int = 6) -> DataFrame:
+    if "mat" in pairs.columns:
+        pairs = unfold(pairs, value)
     for end in ("a", "b"):
         names = matrix.features.select("g", F.col("r").alias(end), F.col("feature").alias(f"feature_{end}"))
         pairs = pairs.join(names, ["g", end])
@@ -557,8 +560,7 @@ def scale_free_table(spark, folder):
 def tom_edges(spark, folder):
     matrix = embedding_matrix(spark, folder)
     adj = materialise(net.adjacency(correlation(matrix), 2))
-    tom = net.topological_overlap(adj, matrix.features)
-    return _named_pairs(matrix, tom.where(F.col("tom") > 0.29), "tom", "weight")
+    return _named_pairs(matrix, net.overlap_edges(adj, 0.29), "tom", "weight")
 
 
 def redundant(spark, folder):

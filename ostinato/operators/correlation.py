@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import nan_to_null
 from ..session import materialise
-from .gram import CHUNK, gram
+from .blocks import CHUNK, ends, gram, map_blocks, row_vectors, unfold, with_ends
 from .ranks import GROUP_ROWS, join_same, rank_counts, ranked_quantiles, value_counts
 
 # Fixed value: the tuning constant of the biweight.
@@ -32,8 +33,8 @@ def zscore(df: DataFrame, keys: Sequence[str], value_col: str, out: str = "z") -
 class FeatureMatrix:
     """Standardised features x observations of every group, as checkpointed frames.
 
-    ``cells``: ``g, r, nf, chunk, pos, v`` (absent cells are zero);
-    ``features``: ``g, r, feature, total, squares``; ``observations``: ``g, well,
+    ``cells``: ``g, r, nf, n_obs, chunk, pos, v`` (absent cells are zero);
+    ``features``: ``g, r, nf, n_obs, feature, total, squares``; ``observations``: ``g, well,
     timepoint, chunk, pos``; ``sizes``: ``g, n_obs``; ``dropped``: ``g, feature``
     without variance."""
 
@@ -48,7 +49,7 @@ def feature_matrix(
     df: DataFrame, group_col: str, well_col: str, timepoint_col: str, feature_col: str, value_col: str
 ) -> FeatureMatrix:
     """Z-score each feature within its well, then pool the wells of a group. A well that has
-    a feature twice at one timepoint is an error."""
+    a feature twice at one timepoint is an error, which the first product over the cells raises."""
     named = df.select(
         F.col(group_col).alias("g"),
         F.col(well_col).alias("well"),
@@ -77,25 +78,24 @@ def feature_matrix(
     stats = scored.groupBy("g", "feature").agg(
         F.var_pop("z").alias("_var"), F.sum("z").alias("total"), F.sum(F.col("z") * F.col("z")).alias("squares")
     )
-    kept = stats.where(F.col("_var") > 0)
+    kept = stats.where(F.col("_var") > 0).join(sizes, "g")
     in_group = Window.partitionBy("g")
     features = materialise(
         kept.select(
             "g",
             (F.row_number().over(in_group.orderBy("feature")) - 1).alias("r"),
             F.count(F.lit(1)).over(in_group).cast("int").alias("nf"),
+            "n_obs",
             "feature",
             "total",
             "squares",
         )
     )
-    repeated = F.raise_error(F.lit("a well has a feature twice at one timepoint"))
     cells = (
         scored.where(F.col("z").isNotNull())
-        .join(features.select("g", "feature", "r", "nf"), ["g", "feature"])
+        .join(features.select("g", "feature", "r", "nf", "n_obs"), ["g", "feature"])
         .join(observations, ["g", "well", "timepoint"])
-        .groupBy("g", "r", "nf", "chunk", "pos")
-        .agg(F.when(F.count("z") > 1, repeated).otherwise(F.max("z")).cast("double").alias("v"))
+        .select("g", "r", "nf", "n_obs", "chunk", "pos", F.col("z").alias("v"))
     )
     return FeatureMatrix(
         cells=materialise(cells),
@@ -106,33 +106,34 @@ def feature_matrix(
     )
 
 
-def _row_pairs(pairs: DataFrame, rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Pairs with the row statistics of both ends, suffixed ``_a`` and ``_b``."""
-    for end in ("a", "b"):
-        side = rows.select("g", F.col("r").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns])
-        pairs = pairs.join(side, ["g", end])
-    return pairs
+def _centred(m: np.ndarray, row: dict) -> np.ndarray:
+    p, q = (np.frombuffer(row[f"sum_{end}"]) for end in "pq")
+    return m - np.outer(p, q) / row["n_obs"]
+
+
+def _scaled(cov: np.ndarray, spread_p: np.ndarray, spread_q: np.ndarray) -> np.ndarray:
+    """Correlations of covariances; an undefined one counts as 0."""
+    norm = np.sqrt(np.outer(np.maximum(spread_p, 0.0), np.maximum(spread_q, 0.0)))
+    return np.clip(np.divide(cov, norm, out=np.zeros_like(cov), where=norm > 0), -1.0, 1.0)
+
+
+def _correlated(m: np.ndarray, row: dict) -> np.ndarray:
+    spreads = [np.frombuffer(row[f"square_{end}"]) - np.frombuffer(row[f"sum_{end}"]) ** 2 / row["n_obs"] for end in "pq"]
+    return _scaled(_centred(m, row), *spreads)
 
 
 def covariance(matrix: FeatureMatrix) -> DataFrame:
-    """``g, a, b, cov``: sums of centred products, one row per pair a < b."""
-    pairs = _row_pairs(gram(matrix.cells), matrix.features, ["total"]).join(matrix.sizes, "g")
-    return pairs.select("g", "a", "b", (F.col("dot") - F.col("total_a") * F.col("total_b") / F.col("n_obs")).alias("cov"))
+    """Blocks of sums of centred products."""
+    return map_blocks(gram(matrix.cells), _centred)
 
 
 def row_spread(matrix: FeatureMatrix) -> DataFrame:
     """``g, r, spread``: centred sum of squares per feature."""
-    return matrix.features.join(matrix.sizes, "g").select(
+    return matrix.features.select(
         "g", "r", (F.col("squares") - F.col("total") * F.col("total") / F.col("n_obs")).alias("spread")
     )
 
 
-def _scaled(pairs: DataFrame, spread: DataFrame) -> DataFrame:
-    r = F.try_divide(F.col("cov"), F.sqrt(F.col("spread_a") * F.col("spread_b")))
-    bounded = F.greatest(F.least(F.coalesce(r, F.lit(0.0)), F.lit(1.0)), F.lit(-1.0))
-    return _row_pairs(pairs, spread, ["spread"]).select("g", "a", "b", bounded.alias("r"))
-
-
 def _counts_with_zeros(matrix: FeatureMatrix) -> DataFrame:
     """Distinct values per feature and their counts, the absent zeros included."""
     counts = value_counts(matrix.cells, ["g", "r"], "v")
@@ -156,7 +157,9 @@ def _rank_cells(matrix: FeatureMatrix) -> DataFrame:
     shifted = ranked.join(zero, ["g", "r"], "left").select(
         "g", "r", "v", (F.col("rank") - F.coalesce("_zero", F.lit(0.0))).alias("_rank")
     )
-    return matrix.cells.join(shifted, ["g", "r", "v"]).select("g", "r", "nf", "chunk", "pos", F.col("_rank").alias("v"))
+    return matrix.cells.join(shifted, ["g", "r", "v"]).select(
+        "g", "r", "nf", "n_obs", "chunk", "pos", F.col("_rank").alias("v")
+    )
 
 
 def _median(counts: DataFrame, value: str, out: str, split: bool) -> DataFrame:
@@ -165,7 +168,7 @@ def _median(counts: DataFrame, value: str, out: str, split: bool) -> DataFrame:
 
 def _biweight(matrix: FeatureMatrix) -> tuple[DataFrame, DataFrame]:
     """Robustly standardised cells minus the value of an absent cell, and per feature
-    that value (``base``), the sum of the shifted cells and the norm."""
+    that value (``base``) and the norm."""
     split = _is_large(matrix)
     counts = materialise(_counts_with_zeros(matrix))
     centre = materialise(_median(counts, "v", "_med", split))
@@ -184,38 +187,37 @@ def _biweight(matrix: FeatureMatrix) -> tuple[DataFrame, DataFrame]:
 
     rows = materialise(rows.withColumn("base", weigh(F.lit(0.0))))
     cells = matrix.cells.join(rows, ["g", "r"]).withColumn("v", weigh(F.col("v")) - F.col("base"))
-    cells = materialise(cells.select("g", "r", "nf", "chunk", "pos", "v"))
+    cells = materialise(cells.select("g", "r", "nf", "n_obs", "chunk", "pos", "v"))
     sums = cells.groupBy("g", "r").agg(F.sum("v").alias("shifted"), F.sum(F.col("v") * F.col("v")).alias("_sq"))
     n, base, total = F.col("n_obs"), F.col("base"), F.col("shifted")
     square = F.greatest(F.col("_sq") + 2 * base * total + n * base * base, F.lit(0.0))
     norms = sums.join(rows, ["g", "r"]).join(matrix.sizes, "g").select(
-        "g", "r", "base", "shifted", F.when(square > 0, F.sqrt(square)).otherwise(F.lit(_EPS)).alias("norm")
+        "g", "r", "base", F.when(square > 0, F.sqrt(square)).otherwise(F.lit(_EPS)).alias("norm")
     )
     return cells, norms
 
 
 def correlation(matrix: FeatureMatrix, method: str = "pearson", cov: DataFrame | None = None) -> DataFrame:
-    """``g, a, b, r`` for all feature pairs a < b: ``pearson``, ``spearman`` (average
-    ranks) or ``bicor`` (biweight midcorrelation). An undefined correlation counts as 0.
-    ``cov`` saves the product if it is at hand."""
+    """Blocks of the correlations of all features: ``pearson``, ``spearman`` (average ranks) or
+    ``bicor`` (biweight midcorrelation). An undefined correlation counts as 0. ``cov``
+    saves the product if it is at hand."""
     if method not in ("pearson", "spearman", "bicor"):
         raise ValueError(f"unknown correlation {method!r}")
     if method == "pearson":
-        return _scaled(covariance(matrix) if cov is None else cov, row_spread(matrix))
+        if cov is None:
+            return map_blocks(gram(matrix.cells), _correlated)
+        spread = with_ends(cov, row_vectors(row_spread(matrix), ["spread"]))
+        return map_blocks(spread, lambda m, row: _scaled(m, *ends(row, "spread", m)))
     if method == "spearman":
-        cells = materialise(_rank_cells(matrix))
-        sums = cells.groupBy("g", "r").agg(F.sum("v").alias("total"), F.sum(F.col("v") * F.col("v")).alias("squares"))
-        ranks = FeatureMatrix(cells, sums, matrix.observations, matrix.sizes, matrix.dropped)
-        return _scaled(covariance(ranks), row_spread(ranks))
+        return map_blocks(gram(_rank_cells(matrix)), _correlated)
     cells, norms = _biweight(matrix)
-    pairs = _row_pairs(gram(cells), norms, ["base", "shifted", "norm"]).join(matrix.sizes, "g")
-    dot = (
-        F.col("dot")
-        + F.col("base_a") * F.col("shifted_b")
-        + F.col("base_b") * F.col("shifted_a")
-        + F.col("n_obs") * F.col("base_a") * F.col("base_b")
-    )
-    return pairs.select("g", "a", "b", (dot / (F.col("norm_a") * F.col("norm_b"))).alias("r"))
+
+    def bicor(m: np.ndarray, row: dict) -> np.ndarray:
+        shifted, base, norm = (np.frombuffer(row["sum_p"]), np.frombuffer(row["sum_q"])), ends(row, "base", m), ends(row, "norm", m)
+        dot = m + np.outer(base[0], shifted[1]) + np.outer(shifted[0], base[1]) + row["n_obs"] * np.outer(*base)
+        return dot / np.outer(*norm)
+
+    return map_blocks(with_ends(gram(cells), row_vectors(norms, ["base", "norm"])), bicor)
 
 
 def redundant_features(corr: DataFrame, threshold: float = 0.99) -> DataFrame:
@@ -224,7 +226,7 @@ def redundant_features(corr: DataFrame, threshold: float = 0.99) -> DataFrame:
     In feature order, a feature that no earlier representative claims becomes a
     representative and claims its later near-duplicates. Each round settles every
     feature whose earlier near-duplicates are settled, in all groups at once."""
-    near = materialise(corr.where(F.abs("r") > threshold).select("g", "a", "b"))
+    near = materialise(unfold(map_blocks(corr, lambda m, row: np.abs(m)), "r", threshold).select("g", "a", "b"))
     if near.isEmpty():
         return near.select("g", F.col("b").alias("r"), F.col("a").alias("representative"))
     open_pairs, claimed = near, near.select("g", F.col("b").alias("r")).limit(0)

@@ -6,29 +6,48 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .clustering import LOCAL_ITEMS, clusters, number_clusters
+from .blocks import ends, from_blocks, map_blocks, row_sums, row_vectors, self_product, unfold, with_ends
+from .clustering import LOCAL_ITEMS, block_clusters, clusters, number_clusters
 from .correlation import FeatureMatrix
-from .gram import CHUNK, both_ways, gram
 
 _EPS = 2.220446049250313e-16
 
 
-def _strength(signed: bool) -> Column:
-    return (1 + F.col("r")) / 2 if signed else F.abs("r")
+def _strength(r: np.ndarray, signed: bool) -> np.ndarray:
+    return (1 + r) / 2 if signed else np.abs(r)
+
+
+def _own(m: np.ndarray, row: dict, value: float) -> np.ndarray:
+    """The block with a value on the diagonal, but for features that are left out."""
+    if row["p"] == row["q"]:
+        at = np.flatnonzero(~np.isnan(m.diagonal()))
+        m[at, at] = value
+    return m
+
+
+def leave_out(blocks: DataFrame, gone: DataFrame) -> DataFrame:
+    """Blocks without the features ``g, r``: NaN in their rows and columns."""
+    marked = with_ends(blocks, row_vectors(gone.withColumn("gone", F.lit(1.0)), ["gone"]))
+
+    def blank(m: np.ndarray, row: dict) -> np.ndarray:
+        p, q = ends(row, "gone", m)
+        return np.where((p == 1)[:, None] | (q == 1)[None, :], np.nan, m)
+
+    return map_blocks(marked, blank)
 
 
 def adjacency(corr: DataFrame, power: float, signed: bool = True) -> DataFrame:
-    """``g, a, b, w``: ((1 + r) / 2) ** power, or |r| ** power for an unsigned network."""
-    return corr.select("g", "a", "b", F.pow(_strength(signed), F.lit(float(power))).alias("w"))
+    """Blocks of ((1 + r) / 2) ** power, or |r| ** power for an unsigned network; 0 for a feature and itself."""
+    return map_blocks(corr, lambda m, row: _own(_strength(m, signed) ** float(power), row, 0.0))
 
 
 def connectivity(adj: DataFrame) -> DataFrame:
     """``g, r, k``: summed weight of each feature's edges."""
-    return both_ways(adj, ["w"]).groupBy("g", F.col("i").alias("r")).agg(F.sum("w").alias("k"))
+    return row_sums(adj, lambda m: [m], ["k"])
 
 
 def scale_free_fit(degrees: DataFrame, keys: Sequence[str], n_bins: int = 20) -> DataFrame:
@@ -62,49 +81,82 @@ def soft_threshold_table(corr: DataFrame, powers: Sequence[int] | None = None, s
     """``g, power, signed_r2, mean_connectivity`` for each candidate power. All powers of
     a feature are summed in one pass over the pairs."""
     powers = list(powers or range(1, 21))
-    strengths = both_ways(corr.withColumn("_s", _strength(signed)), ["_s"])
-    sums = strengths.groupBy("g", F.col("i").alias("r")).agg(
-        *[F.sum(F.pow("_s", F.lit(float(p)))).alias(f"p{p}") for p in powers]
-    )
-    entries = F.array(*[F.struct(F.lit(p).alias("power"), F.col(f"p{p}").alias("k")) for p in powers])
+    names = [f"p{p}" for p in powers]
+    sums = row_sums(corr, lambda m: [_strength(m, signed) ** float(p) for p in powers], names)
+    entries = F.array(*[F.struct(F.lit(p).alias("power"), F.col(n).alias("k")) for p, n in zip(powers, names)])
     degrees = sums.select("g", "r", F.inline(entries))
     return scale_free_fit(degrees, ["g", "power"])
 
 
-def topological_overlap(adj: DataFrame, features: DataFrame) -> DataFrame:
-    """``g, a, b, tom`` for all pairs: shared neighbours and direct link over the smaller
-    connectivity. The shared neighbours are one more blocked matrix product."""
-    cells = (
-        both_ways(adj, ["w"])
-        .join(features.groupBy("g").agg((F.max("r") + 1).cast("int").alias("nf")), "g")
-        .select(
-            "g",
-            F.col("i").alias("r"),
-            "nf",
-            F.floor(F.col("j") / CHUNK).cast("int").alias("chunk"),
-            (F.col("j") % CHUNK).cast("int").alias("pos"),
-            F.col("w").alias("v"),
-        )
-    )
-    shared = gram(cells)
-    degree = connectivity(adj)
-    joined = adj.join(shared, ["g", "a", "b"])
-    for end in ("a", "b"):
-        joined = joined.join(degree.select("g", F.col("r").alias(end), F.col("k").alias(f"k_{end}")), ["g", end])
-    bottom = F.least("k_a", "k_b") + 1 - F.col("w")
-    bottom = F.when(bottom == 0, F.lit(_EPS)).otherwise(bottom)
-    overlap = (F.col("dot") + F.col("w")) / bottom
-    return joined.select("g", "a", "b", F.greatest(F.least(overlap, F.lit(1.0)), F.lit(0.0)).alias("tom"))
+def _overlap(m: np.ndarray, row: dict) -> np.ndarray:
+    """Overlap from shared neighbours ``m``, direct links ``own`` and connectivities ``k``."""
+    link = np.frombuffer(row["own"]).reshape(m.shape)
+    bottom = np.minimum.outer(*ends(row, "k", m)) + 1 - link
+    bottom[bottom == 0] = _EPS
+    return _own(np.clip((m + link) / bottom, 0.0, 1.0), row, 1.0)
+
+
+def topological_overlap(adj: DataFrame) -> DataFrame:
+    """Blocks of shared neighbours and direct link over the smaller connectivity. The shared
+    neighbours are the matrix times itself; it never becomes pairs. ``adj`` is read twice."""
+    return map_blocks(with_ends(self_product(adj), row_vectors(connectivity(adj), ["k"])), _overlap)
+
+
+def overlap_bounds(adj: DataFrame) -> DataFrame:
+    """``g, p, q, bound``: no overlap of the two blocks' features is above ``bound``, but for a feature's with itself.
+
+    With |i, k| the length of feature i's links into block k, two features share at most the sum
+    of |i, k| |j, k| over all k; and neither more than the connectivity of one times the largest link of the other."""
+
+    def own(m, row, rows, columns):
+        alive = ~np.isnan(m)
+        m = np.where(alive, m, 0.0)
+        diagonal = row["p"] == row["q"]
+        for at, k, values, there in ((row["p"], row["q"], m, alive), (row["q"], row["p"], m.T, alive.T)):
+            used = there.any(axis=1)
+            if used.any():
+                sums = values.sum(axis=1)[used]
+                yield {"i": [at], "k": [k], "length": [np.sqrt((values**2).sum(axis=1)).max()], "top": [values.max()], "low": [sums.min()], "high": [sums.max()]}
+            if diagonal:
+                break
+
+    parts = materialise(from_blocks(adj, own, "i int, k int, length double, top double, low double, high double"))
+    # sums of smallest and largest partial sums bound the connectivities
+    rows = parts.groupBy("g", "i").agg(F.sum("low").alias("low"), F.sum("high").alias("high"), F.max("top").alias("most"))
+    left = parts.select("g", F.col("i").alias("p"), "k", F.col("length").alias("_a"))
+    right = parts.select("g", F.col("i").alias("q"), "k", F.col("length").alias("_b"))
+    shared = left.join(right, ["g", "k"]).where("p <= q").groupBy("g", "p", "q").agg(F.sum(F.col("_a") * F.col("_b")).alias("shared"))
+    for end in "pq":
+        shared = shared.join(rows.select("g", F.col("i").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in ("low", "high", "most")]), ["g", end])
+    links = parts.select("g", F.col("i").alias("p"), F.col("k").alias("q"), F.col("top").alias("link"))
+    most = F.least("shared", F.col("high_p") * F.col("most_q"), F.col("high_q") * F.col("most_p"))
+    # of two links between 0 and 1, the overlap grows with the direct one
+    bottom = F.greatest(F.least("low_p", "low_q") + 1 - F.col("link"), F.lit(0.0))
+    bound = F.when(bottom > 0, F.least((most + F.col("link")) / bottom, F.lit(1.0))).otherwise(1.0)
+    return shared.join(links, ["g", "p", "q"]).select("g", "p", "q", (bound * (1 + 1e-9)).alias("bound"))
+
+
+def overlap_edges(adj: DataFrame, threshold: float) -> DataFrame:
+    """``g, a, b, tom`` of the pairs with an overlap above ``threshold``. Block pairs whose bound is no
+    larger are never multiplied, and only the edges become rows."""
+    wanted = overlap_bounds(adj).where(F.col("bound") > threshold).select("g", "p", "q")
+    found = map_blocks(with_ends(self_product(adj, wanted), row_vectors(connectivity(adj), ["k"])), _overlap)
+    return unfold(found, "tom", threshold)
 
 
 def detect_modules(
-    tom: DataFrame, features: DataFrame, min_module_size: int = 30, cut_height: float | None = None, local_items: int = LOCAL_ITEMS
+    tom: DataFrame,
+    features: DataFrame,
+    min_module_size: int = 30,
+    cut_height: float | None = None,
+    local_items: int = LOCAL_ITEMS,
+    linkage_method: str = "average",
 ) -> DataFrame:
-    """``g, r, module`` by average linkage on 1 - overlap; module 0 holds features of
-    clusters below ``min_module_size``. Without a ``cut_height`` the first of a grid that
-    gives the most modules is taken per group."""
-    pairs = tom.select("g", "a", "b", (1 - F.col("tom")).alias("d"))
-    labels = clusters(pairs, features, min_module_size, cut_height, local_items)
+    """``g, r, module`` by clustering on 1 - overlap; module 0 holds features of clusters below
+    ``min_module_size``. Without a ``cut_height`` the first of a grid that gives the most modules is
+    taken per group. ``linkage_method``: average, single, complete or weighted."""
+    distance = map_blocks(tom, lambda m, row: 1 - m)
+    labels = block_clusters(distance, features, min_module_size, cut_height, local_items, linkage_method)
     return materialise(number_clusters(labels, min_module_size))
 
 
@@ -137,6 +189,39 @@ def _loading_frame(g, module, items: np.ndarray, u: np.ndarray, scale: float, tr
     )
 
 
+def _pair_entries(cov: DataFrame, spread: DataFrame, member: DataFrame) -> DataFrame:
+    a = member.select("g", F.col("r").alias("a"), "module", "n")
+    b = member.select("g", F.col("r").alias("b"), F.col("module").alias("_mb"))
+    inner = cov.join(a, ["g", "a"]).join(b, ["g", "b"]).where(F.col("module") == F.col("_mb"))
+    inner = inner.select("g", "module", "n", "a", "b", "cov")
+    own = member.join(spread, ["g", "r"]).select(
+        "g", "module", "n", F.col("r").alias("a"), F.col("r").alias("b"), F.col("spread").alias("cov")
+    )
+    return inner.unionByName(own)
+
+
+def _block_entries(cov: DataFrame, member: DataFrame) -> DataFrame:
+    """``g, module, n, a, b, cov`` for a <= b within a module, the only entries that leave the blocks."""
+    vectors = row_vectors(member.select("g", "r", "module", "n"), ["module", "n"])
+
+    def inside(m, row, rows, columns):
+        (p, q), (n, _) = ends(row, "module", m), ends(row, "n", m)
+        keep = p[:, None] == q[None, :]  # NaN, for no module, equals nothing
+        if row["p"] == row["q"]:
+            keep &= rows[:, None] <= columns[None, :]
+        i, j = np.nonzero(keep)
+        if len(i):
+            yield {
+                "module": p[i].astype(np.int32),
+                "n": n[i].astype(np.int64),
+                "a": rows[i].astype(np.int32),
+                "b": columns[j].astype(np.int32),
+                "cov": m[i, j],
+            }
+
+    return from_blocks(with_ends(cov, vectors), inside, "module int, n bigint, a int, b int, cov double")
+
+
 def module_loadings(cov: DataFrame, spread: DataFrame, modules: DataFrame, local_items: int = LOCAL_ITEMS) -> DataFrame:
     """``g, module, r, loading, scale, explained``: first principal component of each
     module of two or more features, signed so that it goes with the module's mean.
@@ -148,14 +233,7 @@ def module_loadings(cov: DataFrame, spread: DataFrame, modules: DataFrame, local
     member = modules.where(F.col("module") > 0)
     sizes = member.groupBy("g", "module").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     member = member.join(sizes, ["g", "module"])
-    a = member.select("g", F.col("r").alias("a"), "module", "n")
-    b = member.select("g", F.col("r").alias("b"), F.col("module").alias("_mb"))
-    inner = cov.join(a, ["g", "a"]).join(b, ["g", "b"]).where(F.col("module") == F.col("_mb"))
-    inner = inner.select("g", "module", "n", "a", "b", "cov")
-    own = member.join(spread, ["g", "r"]).select(
-        "g", "module", "n", F.col("r").alias("a"), F.col("r").alias("b"), F.col("spread").alias("cov")
-    )
-    entries = inner.unionByName(own)
+    entries = _block_entries(cov, member) if "mat" in cov.columns else _pair_entries(cov, spread, member)
     schema = f"g {cov.schema['g'].dataType.simpleString()}, module int, r int, loading double, scale double, explained double"
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -285,8 +363,7 @@ def eigengenes(matrix: FeatureMatrix, loadings: DataFrame) -> DataFrame:
         F.sum(F.col("loading") * F.col("v")).alias("_s")
     )
     centre = (
-        matrix.features.join(matrix.sizes, "g")
-        .join(weight, ["g", "r"])
+        matrix.features.join(weight, ["g", "r"])
         .groupBy("g", "module")
         .agg(F.sum(F.col("loading") * F.col("total") / F.col("n_obs")).alias("_c"))
     )
@@ -302,17 +379,27 @@ def merge_modules(
     """Join modules whose eigengenes correlate, positively or negatively: average linkage
     on 1 - |r|, cut at 1 - ``merge_cut``. Two eigengenes' product is the covariance of
     their members weighted by both loadings, so no eigengene has to be formed."""
-    weights = loadings.select("g", "module", "r", "loading", "scale")
-    a = weights.select("g", F.col("r").alias("a"), F.col("module").alias("_ma"), F.col("loading").alias("_ua"), F.col("scale").alias("_sa"))
-    b = weights.select("g", F.col("r").alias("b"), F.col("module").alias("_mb"), F.col("loading").alias("_ub"), F.col("scale").alias("_sb"))
-    product = F.col("_ua") * F.col("_ub") * F.col("cov") / F.sqrt(F.col("_sa") * F.col("_sb"))
-    pairs = materialise(
-        cov.join(a, ["g", "a"])
-        .join(b, ["g", "b"])
-        .where((F.col("_ma") != F.col("_mb")) & (F.col("_sa") > 0) & (F.col("_sb") > 0))
-        .groupBy("g", F.least("_ma", "_mb").alias("a"), F.greatest("_ma", "_mb").alias("b"))
-        .agg((1 - F.abs(F.sum(product))).alias("d"))
-    )
+    weights = loadings.where(F.col("scale") > 0).select("g", "r", F.col("module").alias("m"), (F.col("loading") / F.sqrt("scale")).alias("u"))
+
+    def between(m, row, rows, columns):
+        """Products of the loadings of the modules that meet in a block, each pair of features once."""
+        (mp, mq), (up, uq) = ends(row, "m", m), ends(row, "u", m)
+        i, j = np.flatnonzero(~np.isnan(mp)), np.flatnonzero(~np.isnan(mq))
+        if not len(i) or not len(j):
+            return
+        (left, x), (right, y) = np.unique(mp[i], return_inverse=True), np.unique(mq[j], return_inverse=True)
+        product = np.zeros((len(left), len(j)))
+        np.add.at(product, x, up[i, None] * m[np.ix_(i, j)] * uq[None, j])
+        total = np.zeros((len(left), len(right)))
+        np.add.at(total.T, y, product.T)
+        keep = left[:, None] < right[None, :] if row["p"] == row["q"] else left[:, None] != right[None, :]
+        i, j = np.nonzero(keep)
+        if len(i):
+            ends_ = left[i].astype(np.int32), right[j].astype(np.int32)
+            yield {"a": np.minimum(*ends_), "b": np.maximum(*ends_), "product": total[i, j]}
+
+    products = from_blocks(with_ends(cov, row_vectors(weights, ["m", "u"])), between, "a int, b int, product double")
+    pairs = materialise(products.groupBy("g", "a", "b").agg((1 - F.abs(F.sum("product"))).alias("d")))
     if pairs.isEmpty():
         return modules
     listed = loadings.select("g", F.col("module").alias("r")).distinct()

@@ -9,13 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import network as net
+from ..operators.blocks import unfold
 from ..operators.correlation import FeatureMatrix, correlation, covariance, feature_matrix, redundant_features, row_spread
 from ..session import materialise
 
 
 @dataclass
 class Assembled:
-    """Feature matrix, centred products and correlations of all groups. ``features``
+    """Feature matrix, and blocks of centred products and correlations of all groups. ``features``
     holds the representatives only; ``redundant`` and ``low_variance`` what was left out."""
 
     matrix: FeatureMatrix
@@ -55,6 +56,8 @@ class NetworkAnalyzer:
         redundancy_threshold: float = 0.99,
         correlation_method: str = "pearson",
         soft_power: float | None = None,
+        cut_height: float | None = None,
+        linkage_method: str = "average",
     ) -> None:
         self.signed = signed
         self.min_module_size = min_module_size
@@ -62,6 +65,8 @@ class NetworkAnalyzer:
         self.redundancy_threshold = redundancy_threshold
         self.correlation_method = correlation_method
         self.soft_power = soft_power
+        self.cut_height = cut_height
+        self.linkage_method = linkage_method
 
     @property
     def params(self) -> dict:
@@ -92,15 +97,12 @@ class NetworkAnalyzer:
         corr = correlation(matrix, self.correlation_method, cov)
         if self.correlation_method != "pearson":
             corr = materialise(corr)
-        redundant = redundant_features(corr, self.redundancy_threshold)
+        redundant = materialise(redundant_features(corr, self.redundancy_threshold))
         features, kept = matrix.features.select("g", "r", "feature"), corr
         if not redundant.isEmpty():
-            redundant = materialise(redundant)
             gone = redundant.select("g", "r")
             features = materialise(features.join(gone, ["g", "r"], "left_anti"))
-            for end in ("a", "b"):
-                kept = kept.join(gone.withColumnRenamed("r", end), ["g", end], "left_anti")
-            kept = materialise(kept)
+            kept = materialise(net.leave_out(corr, gone))
         named_rows = matrix.features.select("g", "r", "feature")
         first = named_rows.withColumnsRenamed({"r": "representative", "feature": "representative_feature"})
         mapping = redundant.join(named_rows, ["g", "r"]).join(first, ["g", "representative"])
@@ -125,8 +127,8 @@ class NetworkAnalyzer:
             raise ValueError("soft_power is not set; choose it from pick_soft_threshold()")
         features = assembled.features
         adj = materialise(net.adjacency(assembled.corr, self.soft_power, self.signed))
-        tom = materialise(net.topological_overlap(adj, features))
-        modules = net.detect_modules(tom, features, self.min_module_size)
+        tom = materialise(net.topological_overlap(adj))
+        modules = net.detect_modules(tom, features, self.min_module_size, self.cut_height, linkage_method=self.linkage_method)
         loadings = net.module_loadings(assembled.cov, assembled.spread, modules)
         merged = net.merge_modules(assembled.cov, loadings, modules, self.merge_cut_height)
         if merged is not modules:
@@ -142,7 +144,7 @@ class NetworkAnalyzer:
         eigen_table = scores.join(assembled.matrix.observations, ["g", "chunk", "pos"]).select(
             group, "well", "timepoint", F.concat(F.lit("Module_"), F.col("module")).alias("feature"), F.col("score").alias("value")
         )
-        edges = tom.where(F.col("tom") > edge_threshold)
+        edges = unfold(tom, "tom", edge_threshold)
         for end in ("a", "b"):
             edges = edges.join(features.select("g", F.col("r").alias(end), F.col("feature").alias(f"feature_{end}")), ["g", end])
         edge_table = edges.select("feature_a", "feature_b", F.col("tom").alias("weight"), group)
