@@ -275,7 +275,7 @@ def assembled_matrix(spark, folder):
     """Wells of a region side by side; a cell a well lacks counts as zero."""
     named = monthly(spark, folder).join(platemap(spark, folder).select("well", "region"), "well")
     matrix = feature_matrix(named, "region", "well", "tp", "feature", "mean")
-    return matrix.features.join(matrix.sizes, "g").select(
+    return matrix.features.select(
         F.col("g").alias("region"), "feature", "n_obs", rounded("total", 4).alias("total"), rounded("squares", 4).alias("squares")
     )
 
@@ -563,6 +563,16 @@ def tom_edges(spark, folder):
     return _named_pairs(matrix, net.overlap_edges(adj, 0.29), "tom", "weight")
 
 
+def _linked(method: str):
+    def query(spark, folder):
+        matrix = embedding_matrix(spark, folder)
+        tom = materialise(net.topological_overlap(materialise(net.adjacency(correlation(matrix), 2))))
+        found = net.detect_modules(tom, matrix.features, 3, linkage_method=method)
+        return found.join(matrix.features, ["g", "r"]).select(F.col("g").alias("label"), "feature", "module")
+
+    return query
+
+
 def redundant(spark, folder):
     matrix = embedding_matrix(spark, folder)
     found = redundant_features(correlation(matrix), 0.4)
@@ -670,6 +680,9 @@ def catalog() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "tom_edges": tom_edges,
         "redundant_features": redundant,
         "modules": modules,
+        "modules_single": _linked("single"),
+        "modules_complete": _linked("complete"),
+        "modules_weighted": _linked("weighted"),
         "module_membership": module_membership,
         "eigengenes": module_eigengenes,
         "network_edges": network_edges,

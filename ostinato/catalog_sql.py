@@ -292,19 +292,24 @@ def _wavelet(metrics: str, tail: str) -> str:
     return f"{_WAVELET} SELECT {metrics} {tail}"
 
 
-def _tree(name: str, items: str, dist: str) -> str:
-    """CTE ``name``: every state of average linkage of ``items`` (g, item) under whole-number
+#: What a linkage makes of the item distances u between two clusters; w is an item's weight in its cluster.
+_LINKAGES = {"average": "sum(u)::DOUBLE / count(*)", "single": "min(u)::DOUBLE", "complete": "max(u)::DOUBLE", "weighted": "sum(x.w * y.w * u)"}
+
+
+def _tree(name: str, items: str, dist: str, linkage: str = "average") -> str:
+    """CTE ``name``: every state of the clustering of ``items`` (g, item) under whole-number
     distances ``dist`` (g, i, j, u, both ways); ties by the clusters' numbers."""
     return f"""
-{name}(g, step, height, item, cluster) AS (SELECT g, 0, -1.0::DOUBLE, item, item FROM {items} UNION ALL
-  SELECT c.g, c.step + 1, b.best.d, c.item, CASE WHEN c.cluster = b.best.cb THEN b.best.ca ELSE c.cluster END
+{name}(g, step, height, item, cluster, w) AS (SELECT g, 0, -1.0::DOUBLE, item, item, 1.0::DOUBLE FROM {items} UNION ALL
+  SELECT c.g, c.step + 1, b.best.d, c.item, CASE WHEN c.cluster = b.best.cb THEN b.best.ca ELSE c.cluster END,
+    CASE WHEN c.cluster IN (b.best.ca, b.best.cb) THEN c.w / 2 ELSE c.w END
   FROM {name} c JOIN (SELECT g, min({{'d': d, 'ca': ca, 'cb': cb}}) AS best FROM (
-      SELECT x.g, x.cluster AS ca, y.cluster AS cb, sum(u)::DOUBLE / count(*) / power(2.0::DOUBLE, 40) AS d
+      SELECT x.g, x.cluster AS ca, y.cluster AS cb, {_LINKAGES[linkage]} / power(2.0::DOUBLE, 40) AS d
       FROM {name} x JOIN {name} y ON x.g = y.g AND x.cluster < y.cluster JOIN {dist} e ON e.g = x.g AND e.i = x.item AND e.j = y.item
       GROUP BY x.g, x.cluster, y.cluster) GROUP BY g) b ON b.g = c.g)"""
 
 
-def _network(source: str, size: int, power: int, merge: float = 0.25) -> str:
+def _network(source: str, size: int, power: int, merge: float = 0.25, linkage: str = "average") -> str:
     """CTEs of a module analysis of ``source`` (g, obs, feature, z)."""
     units = "CAST(round({d} * power(2.0::DOUBLE, 40)) AS BIGINT)"
 
@@ -338,7 +343,7 @@ tom AS (SELECT e.g, e.i, e.j, least(greatest((coalesce(s.l, 0) + e.w) / (least(p
   LEFT JOIN paths s ON s.g = e.g AND s.i = e.i AND s.j = e.j JOIN degrees p ON p.g = e.g AND p.i = e.i JOIN degrees q ON q.g = e.g AND q.i = e.j),
 apart AS (SELECT g, i, j, {units.format(d="(1 - tom)")} AS u FROM tom),
 listed AS (SELECT g, item FROM useful),
-{_tree("tree", "listed", "apart").strip()},
+{_tree("tree", "listed", "apart", linkage).strip()},
 grid AS (SELECT k, 0.1::DOUBLE + k * (0.99::DOUBLE - 0.1::DOUBLE) / 34 AS h FROM (SELECT unnest(range(35)) AS k)),
 levels AS (SELECT g, k, max(step) AS step FROM (SELECT DISTINCT g, step, height FROM tree), grid WHERE height <= h GROUP BY g, k),
 found AS (SELECT l.g, l.k, l.step, t.cluster, count(*) AS n FROM levels l JOIN tree t ON t.g = l.g AND t.step = l.step GROUP BY ALL),
@@ -365,7 +370,16 @@ scores AS (SELECT o.g, o.obs, d.module, coalesce(sum(d.u * c.z), 0) - sum(d.u *
   LEFT JOIN spots c ON c.g = o.g AND c.obs = o.obs AND c.item = d.item GROUP BY o.g, o.obs, d.module)"""
 
 
-_MODULES = f"""WITH RECURSIVE {EMBEDDED}, source AS (SELECT label AS g, vec_id AS obs, dim AS feature, z FROM z),{_network("source", 3, 2)}"""
+def _modules(linkage: str = "average") -> str:
+    source = "source AS (SELECT label AS g, vec_id AS obs, dim AS feature, z FROM z)"
+    return f"""WITH RECURSIVE {EMBEDDED}, {source},{_network("source", 3, 2, linkage=linkage)}"""
+
+
+def _linked(linkage: str) -> str:
+    return f"{_modules(linkage)} SELECT g AS label, feature, module FROM parts JOIN useful USING (g, item)"
+
+
+_MODULES = _modules()
 
 
 def _eigengene_rhythm() -> str:
@@ -508,6 +522,9 @@ FROM patchy a JOIN patchy b ON a.well = b.well AND a.feature = b.feature AND a.t
 SELECT well, feature, CAST(period AS INTEGER) AS period, CAST(lag_index AS INTEGER) AS lag_index, s FROM scores""",
         "jtk": _JTK_TABLE,
         "jtk_curves": _JTK_CURVES,
+        "modules_single": _linked("single"),
+        "modules_complete": _linked("complete"),
+        "modules_weighted": _linked("weighted"),
         "modules": f"{_MODULES} SELECT g AS group_key, feature, module AS module_id FROM members",
         "module_membership": f"""{_MODULES} SELECT g AS group_key, feature, module AS module_id, round(kme, 6) + 0.0 AS "kME",
 round(explained, 6) + 0.0 AS variance_explained FROM members""",

@@ -247,6 +247,111 @@ def test_ties_give_one_tree(spark, seed):
         pd.testing.assert_frame_equal(local, rounds)
 
 
+def slow_merges(d, method):
+    """Merge the closest pair again and again under a linkage's own distance; equal ones by number."""
+    apart = {(a, b): d[a, b] for a in range(len(d)) for b in range(a + 1, len(d))}
+    alive, size, out = set(range(len(d))), [1] * len(d), []
+    get = lambda a, b: apart[min(a, b), max(a, b)]
+    while len(alive) > 1:
+        height, a, b = min((get(a, b), a, b) for a in alive for b in alive if a < b)
+        alive.remove(b)
+        for c in alive - {a}:
+            x, y = get(a, c), get(b, c)
+            mean = (size[a] * x + size[b] * y) / (size[a] + size[b])
+            apart[min(a, c), max(a, c)] = {"average": mean, "single": min(x, y), "complete": max(x, y), "weighted": (x + y) / 2}[method]
+        size[a] += size[b]
+        out.append((a, b, height, size[a]))
+    return np.array(out, float)
+
+
+@pytest.mark.parametrize("method", METHODS)
+@pytest.mark.parametrize("ties", [False, True])
+def test_linkages(method, ties):
+    for seed in range(6):
+        d = distances(17, seed)
+        if ties:  # whole numbers, so that means are exact
+            d = np.triu(np.random.default_rng(seed).integers(1, 5, (17, 17)).astype(float), 1)
+            d = d + d.T
+        if ties and method == "average":
+            continue  # test_ties_give_one_tree has them in whole-number sums
+        np.testing.assert_allclose(linkage(d, method), slow_merges(d, method))
+    with pytest.raises(ValueError):
+        linkage(d, "ward?")
+
+
+@pytest.mark.parametrize("method", METHODS)
+def test_linkage_in_rounds(spark, method):
+    rng = np.random.default_rng(8)
+    tied = np.triu(rng.integers(1, 4, (8, 8)) / 4.0, 1)
+    groups = {"x": distances(11, 3) / 4, "tied": tied + tied.T, "y": distances(4, 4) / 4, "single": np.zeros((1, 1))}
+    pairs, items = pair_frame(spark, groups)
+    cut = None if method in ("average", "complete") else 0.4
+    local, rounds, blocks, far = [
+        f.toPandas().sort_values(["g", "r"], ignore_index=True)
+        for f in (
+            clusters(pairs, items, 2, cut, 100, method),
+            clusters(pairs, items, 2, cut, 6, method),
+            block_clusters(fold(pairs, items, "d"), items, 2, cut, 100, method),
+            block_clusters(fold(pairs, items, "d"), items, 2, cut, 6, method),
+        )
+    ]
+    for other in (rounds, blocks, far):
+        pd.testing.assert_frame_equal(local, other)
+    want = flat_clusters(groups["x"], 2, cut, method=method)
+    assert local[local["g"] == "x"]["cluster"].tolist() == want.tolist()
+
+
+def test_spanning_tree_over_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(block_module, "BLOCK", 5)
+    monkeypatch.setattr(cluster_module, "BLOCK", 5)
+    rng = np.random.default_rng(2)
+    d = np.triu(rng.integers(1, 9, (33, 33)) / 8.0, 1)
+    pairs, items = pair_frame(spark, {"x": d + d.T, "two": distances(2, 1)})
+    tree = cluster_module.spanning_tree(fold(pairs, items, "d"), items).toPandas()
+    # Kruskal in the same order
+    owner, want = list(range(33)), set()
+    for s, a, b in sorted((d[a, b], a, b) for a in range(33) for b in range(a + 1, 33)):
+        if owner[a] != owner[b]:
+            want.add((a, b))
+            owner = [min(owner[a], owner[b]) if o in (owner[a], owner[b]) else o for o in owner]
+    part = tree[tree["g"] == "x"]
+    assert set(zip(part["a"], part["b"])) == want and len(tree) == 33
+    one, many = [
+        block_clusters(fold(pairs, items, "d"), items, 2, None, n, "single").toPandas().sort_values(["g", "r"], ignore_index=True)
+        for n in (100, 1)
+    ]
+    pd.testing.assert_frame_equal(one, many)
+
+
+def test_edges_above_a_threshold_leave_blocks_out(spark, monkeypatch):
+    """Three separate groups of features: bounds leave out the blocks between them, and no edge."""
+    for name, value in {"BLOCK": 6, "TILE": 1, "DEPTH": 1}.items():
+        monkeypatch.setattr(block_module, name, value)
+    rng = np.random.default_rng(3)
+    n = 18
+    a = np.zeros((n, n))
+    for k in range(3):
+        at = slice(6 * k, 6 * k + 6)
+        a[at, at] = rng.uniform(0.5, 0.9, (6, 6))
+    a = np.triu(a + rng.uniform(0, 0.004, (n, n)), 1)
+    a = a + a.T
+    pairs, items = pair_frame(spark, {"x": a})
+    adj = fold(pairs, items, "d")
+    bounds = {(r.p, r.q): r.bound for r in net.overlap_bounds(adj).collect()}
+    tom = brute_tom(a)
+    np.fill_diagonal(tom, 0)
+    assert len(bounds) == 6
+    for (p, q), bound in bounds.items():
+        assert tom[6 * p : 6 * p + 6, 6 * q : 6 * q + 6].max() <= bound
+    assert {k for k, v in bounds.items() if v > 0.3} == {(0, 0), (1, 1), (2, 2)}
+    for threshold in (0.3, 0.001):
+        got = {(r.a, r.b): r.tom for r in net.overlap_edges(adj, threshold).collect()}
+        want = {(i, j): tom[i, j] for i in range(n) for j in range(i + 1, n) if tom[i, j] > threshold}
+        assert got.keys() == want.keys()
+        for k in want:
+            assert got[k] == pytest.approx(want[k], abs=1e-12)
+
+
 def test_cut_scan_takes_the_first_best_height():
     d = distances(24, 3) / 4
     merges = average_linkage(d)
