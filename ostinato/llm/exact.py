@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
+from .common import free_name
 
 #: White space that two equal texts may differ in: ``[\x20\x09-\x0D]``.
 BLANKS = "[ \\t\\n\\x0B\\f\\r]+"
@@ -79,5 +80,6 @@ def exact_duplicates(
 
 def drop_exact_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; repeated rows of one id stay or go together."""
-    kept = exact_duplicates(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(doc_id).eqNullSafe(F.col("_kept")), "left_semi")
+    name = free_name(docs)
+    kept = exact_duplicates(docs, doc_id, text).filter("kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, F.col(doc_id).eqNullSafe(F.col(name)), "left_semi")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import batch_steps
+from .common import batch_steps, free_name
 from .tokens import text_ids
 
 
@@ -196,40 +196,41 @@ def pack(pieces: DataFrame, capacity: int = 2048, rounds: int = 24, spread: int
     many pieces have is spread. An empty table gives an empty one.
     """
     total = pieces.count()
+    part, rank, base, ordinal = (free_name(pieces, name) for name in ("_part", "_rank", "_before", "_ordinal"))
     parts = max(spread, -(-total // share))
-    rows = pieces.withColumn("_part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
-    sizes = materialise(rows.groupBy("length", "_part").count())
+    rows = pieces.withColumn(part, F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+    sizes = materialise(rows.groupBy("length", part).count())
     histogram = {r[0]: r[1] for r in sizes.groupBy("length").agg(F.sum("count")).collect()}  # at most capacity rows
     slots = pieces.sparkSession.sparkContext.broadcast(_slots(packing_plan(histogram, capacity, rounds)))
     before = sizes.withColumn(
-        "_before", F.sum("count").over(Window.partitionBy("length").orderBy("_part")) - F.col("count")
+        base, F.sum("count").over(Window.partitionBy("length").orderBy(part)) - F.col("count")
     ).drop("count")
-    within = Window.partitionBy("length", "_part").orderBy("doc_id", "piece")
+    within = Window.partitionBy("length", part).orderBy("doc_id", "piece")
     numbered = (
-        rows.withColumn("_rank", F.row_number().over(within) - 1)
-        .join(before, ["length", "_part"])
-        .withColumn("_ordinal", F.col("_rank") + F.col("_before"))
-        .drop("_rank", "_before", "_part")
+        rows.withColumn(rank, F.row_number().over(within) - 1)
+        .join(before, ["length", part])
+        .withColumn(ordinal, F.col(rank) + F.col(base))
+        .drop(rank, base, part)
     )
-    names = [c for c in numbered.columns if c != "_ordinal"]
+    names = [c for c in numbered.columns if c != ordinal]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             size = batch.column("length").to_numpy()
-            ordinal = batch.column("_ordinal").to_numpy()
+            place_of = batch.column(ordinal).to_numpy()
             sequence, offset = np.empty(len(size), np.int64), np.empty(len(size), np.int64)
             for n in np.unique(size).tolist():
                 at = np.flatnonzero(size == n)
                 table = slots.value[n]
-                hit = table[np.searchsorted(table[:, 0], ordinal[at], "right") - 1]
-                place = ordinal[at] - hit[:, 0]
+                hit = table[np.searchsorted(table[:, 0], place_of[at], "right") - 1]
+                place = place_of[at] - hit[:, 0]
                 sequence[at] = hit[:, 2] + place // hit[:, 1]
                 offset[at] = hit[:, 3] + place % hit[:, 1] * n
             yield pa.RecordBatch.from_pydict(
                 {c: batch.column(c) for c in names} | {"sequence_id": pa.array(sequence), "offset": pa.array(offset)}
             )
 
-    schema = numbered.drop("_ordinal").withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
+    schema = numbered.drop(ordinal).withColumns({"sequence_id": F.lit(0).cast("long"), "offset": F.lit(0).cast("long")})
     return numbered.mapInArrow(work, schema.schema)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import batch_steps
+from .common import batch_steps, free_name
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -270,14 +270,15 @@ def redact_pii(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **ho
     """All rows and columns, with personal data in the text replaced by ``[EMAIL]`` and the like,
     and n_chars, if there is one, set to the new length. A null text stays null."""
     spans = find_pii(docs, doc_id=doc_id, text=text, **how).filter("spans <> ''")
-    spans = spans.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).distinct()
-    same = F.col(doc_id).eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col("_hash"))
-    joined = docs.join(spans, same, "left").drop("_id", "_hash")
+    own, hashed, marked = (free_name(docs, name) for name in ("_own", "_hash", "_spans"))
+    spans = spans.select(F.col("doc_id").alias(own), F.col("text_hash").alias(hashed), F.col("spans").alias(marked)).distinct()
+    same = F.col(doc_id).eqNullSafe(F.col(own)) & (F.xxhash64(F.coalesce(text, F.lit(""))) == F.col(hashed))
+    joined = docs.join(spans, same, "left").drop(own, hashed)
     names = docs.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = batch.column("_spans").to_pylist()
+            marks = batch.column(marked).to_pylist()
             new = [redacted(t, s) if s else t for t, s in zip(batch.column(text).to_pylist(), marks, strict=True)]
             yield pa.RecordBatch.from_pydict(
                 {c: pa.array(new, pa.string()) if c == text else batch.column(c) for c in names}

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import batch_steps, with_columns
+from .common import batch_steps, free_name, with_columns
 from .graph import components
 
 BITS, BLOCK = 64, 8
@@ -198,5 +198,6 @@ def near_duplicates(docs: DataFrame, most: int = 2, width: int = 3, doc_id: str
 def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **how: int) -> DataFrame:
     """The documents with the smallest id of their component, with all their columns."""
     found = near_duplicates(docs, doc_id=doc_id, text=text, **how)
-    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_stays"))
-    return docs.join(stays.distinct(), F.col(doc_id).eqNullSafe(F.col("_stays")), "left_semi")
+    name = free_name(docs)
+    stays = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name))
+    return docs.join(stays.distinct(), F.col(doc_id).eqNullSafe(F.col(name)), "left_semi")

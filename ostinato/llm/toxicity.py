@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import batch_steps, learnable
+from .common import batch_steps, free_name, learnable
 
 # Names of groups that may stand for each other in a sentence.
 IDENTITIES = (
@@ -271,5 +271,6 @@ def held_out_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not predicted toxic, with all their columns; rows of one id that has
     several texts go if any of them is toxic."""
-    toxic = held_out_toxicity(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_toxic")).distinct()
-    return docs.join(toxic, docs["doc_id"].eqNullSafe(F.col("_toxic")), "left_anti")
+    name = free_name(docs)
+    toxic = held_out_toxicity(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(toxic, docs["doc_id"].eqNullSafe(F.col(name)), "left_anti")

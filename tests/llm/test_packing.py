@@ -119,3 +119,11 @@ def test_documents(spark):
     assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
     assert bytes(cut_documents(docs.filter("doc_id = 100"), PATH).first().ids) == b"\0\0\0\0"
     assert pack_documents(docs.limit(0), PATH).count() == 0
+
+
+def test_clashing_columns(spark):
+    rows = [(k, 0, 700 + k % 5, "own") for k in range(40)]
+    pieces = spark.createDataFrame(rows, "doc_id long, piece int, length long, _part string").selectExpr("*", "1 AS _rank", "2 AS _before", "3 AS _ordinal")
+    got = pack(pieces).collect()
+    assert len(got) == 40 and {(r._part, r._rank, r._before, r._ordinal) for r in got} == {("own", 1, 2, 3)}
+    assert len({(r.sequence_id, r.offset) for r in got}) == 40
