@@ -257,8 +257,8 @@ def _block_loadings(entries: DataFrame, schema: str, tolerance: float = 1e-9, ro
 
     The covariance stays in square blocks; a panel of a few vectors, as long as the module,
     is multiplied by all of them at once, and one task per module then turns it to the best
-    vectors it spans. A module is done when its leading residual is small, and its panel is
-    the answer after ``rounds`` in any case: no more than equal weights can be left to sort out."""
+    vectors it spans. A module is done when its leading residual is small; one that is not after
+    ``rounds`` is an error, since its answer would only be near the component."""
     keys = ["g", "module"]
     kind = entries.schema["g"].dataType.simpleString()
     both = F.array(
@@ -326,6 +326,10 @@ def _block_loadings(entries: DataFrame, schema: str, tolerance: float = 1e-9, ro
         product = blocks.join(open_, [*keys, "q"]).mapInPandas(multiply, f"{head}, p int, mat binary")
         panel = materialise(panel.groupBy(*keys).cogroup(product.groupBy(*keys)).applyInPandas(turn, shape))
 
+    left = [tuple(r) for r in panel.where("not done").select(*keys).distinct().take(5)]
+    if left:
+        raise ArithmeticError(f"the leading components of {left} are too close together to tell apart in {rounds} rounds")
+
     trace = entries.where(F.col("a") == F.col("b")).groupBy(*keys).agg(F.sum("cov").alias("trace"))
 
     def finish(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -468,6 +468,15 @@ def test_leading_component_at_any_size(spark, kind):
         np.testing.assert_allclose(near[c], far[c], rtol=1e-7, atol=1e-7)
 
 
+def test_no_component_without_convergence(spark):
+    n = 20
+    rows = [("g", 1, n, a, b, float(1 / (1 + abs(a - b)))) for a in range(n) for b in range(a, n)]
+    entries = spark.createDataFrame(rows, "g string, module int, n long, a int, b int, cov double")
+    schema = "g string, module int, r int, loading double, scale double, explained double"
+    with pytest.raises(ArithmeticError, match="too close together"):
+        net._block_loadings(entries, schema, rounds=1)
+
+
 def test_large_modules_by_blocks(analyzed):
     _, assembled, _ = analyzed
     chosen = assembled.matrix.features.where("feature like 'f%'").selectExpr("g", "r", "cast(1 + (r % 2) as int) as module")
