@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -146,27 +147,28 @@ def _best_fit(lengths: np.ndarray, counts: np.ndarray, bins: list[list]) -> list
 def packing_plan(histogram: dict[int, int], capacity: int = 2048, rounds: int = 24) -> list[tuple[dict[int, int], int]]:
     """Contents (length to count) and how many sequences have each; covers the histogram exactly.
 
-    The fractional solution is rounded down as far as the counts allow, and what is left is
-    put by best fit, into these sequences first. Pure best fit is the other candidate; the plan
-    of fewer sequences is returned. The work depends on the number of different lengths only.
+    The fractional solution of the configuration program is rounded, as far as the counts allow: once up,
+    and down if that misses the volume bound; the plan of fewer sequences is returned. Only pieces
+    that the rounded patterns leave over are put by best fit, into these sequences first. The work
+    depends on the number of different lengths only.
     """
     if not histogram:
         return []
     lengths = np.array(sorted(histogram), np.int64)
     counts = np.array([histogram[n] for n in lengths.tolist()], np.int64)
-    # an empty class carries the capacity into best fit
-    plans = [_best_fit(lengths, counts, [[{}, 0, capacity]])]
-    if plans and sum(n for _, n, _ in plans[0]) > -(-int(lengths.dot(counts)) // capacity):
-        left, bins = counts.copy(), [[{}, 0, capacity]]
-        for content, amount in sorted(
-            fractional_patterns(lengths, counts, capacity, rounds), key=lambda x: (-x[1], sorted(x[0].items()))
-        ):
-            n = min(int(amount), *(int(left[j]) // a for j, a in content.items()))
+    patterns = sorted(fractional_patterns(lengths, counts, capacity, rounds), key=lambda x: (-x[1], sorted(x[0].items())))
+    plans = []
+    for rounded in (math.ceil, math.floor):
+        left, bins = counts.copy(), [[{}, 0, capacity]]  # an empty class carries the capacity into best fit
+        for content, amount in patterns:
+            n = min(rounded(amount), *(int(left[j]) // a for j, a in content.items()))
             if n > 0:
                 for j, a in content.items():
                     left[j] -= n * a
                 bins.append([content, n, capacity - sum(int(lengths[j]) * a for j, a in content.items())])
         plans.append(_best_fit(lengths, left, bins))
+        if sum(n for _, n, _ in plans[-1]) == -(-int(lengths.dot(counts)) // capacity):
+            break
     best = min(plans, key=lambda p: sum(n for _, n, _ in p))
     return [({int(lengths[j]): a for j, a in content.items()}, n) for content, n, _ in best if n]
 
