@@ -378,10 +378,10 @@ def eigengenes(matrix: FeatureMatrix, loadings: DataFrame) -> DataFrame:
 
 
 def merge_modules(
-    cov: DataFrame, loadings: DataFrame, modules: DataFrame, merge_cut: float = 0.75, local_items: int = LOCAL_ITEMS
+    cov: DataFrame, loadings: DataFrame, modules: DataFrame, merge_cut: float = 0.75, local_items: int = LOCAL_ITEMS, signed: bool = False
 ) -> DataFrame:
-    """Join modules whose eigengenes correlate, positively or negatively: average linkage
-    on 1 - |r|, cut at 1 - ``merge_cut``. Two eigengenes' product is the covariance of
+    """Join modules whose eigengenes correlate, positively or (unless ``signed``) negatively: average
+    linkage on 1 - |r|, or 1 - r, cut at 1 - ``merge_cut``. Two eigengenes' product is the covariance of
     their members weighted by both loadings, so no eigengene has to be formed."""
     weights = loadings.where(F.col("scale") > 0).select("g", "r", F.col("module").alias("m"), (F.col("loading") / F.sqrt("scale")).alias("u"))
 
@@ -403,7 +403,7 @@ def merge_modules(
             yield {"a": np.minimum(*ends_), "b": np.maximum(*ends_), "product": total[i, j]}
 
     products = from_blocks(with_ends(cov, row_vectors(weights, ["m", "u"])), between, "a int, b int, product double")
-    pairs = materialise(products.groupBy("g", "a", "b").agg((1 - F.abs(F.sum("product"))).alias("d")))
+    pairs = materialise(products.groupBy("g", "a", "b").agg((1 - (F.sum("product") if signed else F.abs(F.sum("product")))).alias("d")))
     if pairs.isEmpty():
         return modules
     listed = loadings.select("g", F.col("module").alias("r")).distinct()

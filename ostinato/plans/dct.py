@@ -50,6 +50,7 @@ def dct_process_file(
     grouping_cols: Sequence[str],
     sampling_interval: float = 1.0,
     period_range: tuple[float, float] = (16, 48),
+    norm: str | None = "ortho",
 ) -> None:
     """Reads as TSV, joins the platemap (wells without metadata drop out), writes both
     result tables and the profile that a plot of them needs."""
@@ -66,7 +67,7 @@ def dct_process_file(
     wells = trimmed.withColumn("_n", F.row_number().over(one)).where(F.col("_n") == 1).drop("_n")
     data = reads.join(wells, well_col)
     per_well, per_group, profile = dct_periods(
-        data, well_col, timepoint_col, expression_col, grouping, sampling_interval, period_range
+        data, well_col, timepoint_col, expression_col, grouping, sampling_interval, period_range, norm
     )
     write_table(per_well.orderBy("group_label", "Well"), f"{out_dir}/per_well_period_results.csv")
     write_table(per_group.orderBy("group_label"), f"{out_dir}/period_results.csv")

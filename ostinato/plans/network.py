@@ -58,6 +58,7 @@ class NetworkAnalyzer:
         soft_power: float | None = None,
         cut_height: float | None = None,
         linkage_method: str = "average",
+        signed_merge: bool = False,
     ) -> None:
         self.signed = signed
         self.min_module_size = min_module_size
@@ -67,6 +68,7 @@ class NetworkAnalyzer:
         self.soft_power = soft_power
         self.cut_height = cut_height
         self.linkage_method = linkage_method
+        self.signed_merge = signed_merge
 
     @property
     def params(self) -> dict:
@@ -130,7 +132,7 @@ class NetworkAnalyzer:
         tom = materialise(net.topological_overlap(adj))
         modules = net.detect_modules(tom, features, self.min_module_size, self.cut_height, linkage_method=self.linkage_method)
         loadings = net.module_loadings(assembled.cov, assembled.spread, modules)
-        merged = net.merge_modules(assembled.cov, loadings, modules, self.merge_cut_height)
+        merged = net.merge_modules(assembled.cov, loadings, modules, self.merge_cut_height, signed=self.signed_merge)
         if merged is not modules:
             modules = merged
             loadings = net.module_loadings(assembled.cov, assembled.spread, modules)

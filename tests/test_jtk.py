@@ -278,3 +278,22 @@ def test_series_with_gaps_and_zeros_stay(spark):
     assert {r.w: r.location for r in found.collect()} == {"a": 2.0, "b": 0.0, "c": 0.0}
     scores = kendall_scores(frame, ["w"], "t", "v", [2]).collect()
     assert len(scores) == 6
+
+
+@pytest.mark.parametrize("n", [4, 5, 6, 7])
+def test_corrected_tail_is_the_share_of_orders(n):
+    scores = []
+    for order in itertools.permutations(range(n)):
+        scores.append(abs(sum(1 if order[j] > order[i] else -1 for i in range(n) for j in range(i + 1, n))))
+    table = null_distribution(n, "corrected")["p"]
+    for s in range(n * (n - 1) // 2 + 1):
+        assert table[s] == pytest.approx(np.mean([x >= s for x in scores]))
+
+
+def test_corrected_tail_in_a_fit():
+    t = np.arange(24.0)
+    x = np.cos(2 * np.pi * t / 12)
+    plain, corrected = (JTKCycle([12], exact_tail=tail).fit(t, x) for tail in ("half_step", "corrected"))
+    assert 0 < corrected["p_value"] < 1e-6 and plain["tau"] == corrected["tau"]
+    with pytest.raises(ValueError):
+        JTKCycle([12], exact_tail="exact")

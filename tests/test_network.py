@@ -501,6 +501,18 @@ def test_merge_keeps_unlike_modules(analyzed, dense):
     assert by_name["f00"] == by_name["f04"] == 1 and by_name["n0"] == 2 and by_name["f10"] == 0
 
 
+def test_signed_merge_keeps_antiphase_modules(analyzed):
+    _, assembled, _ = analyzed
+    modules = assembled.matrix.features.where("g = 'g1'").selectExpr(
+        "g", "r", "cast(case when feature < 'f06' then 1 when feature like 'f%' then 2 else 0 end as int) as module"
+    )
+    loadings = net.module_loadings(assembled.cov, assembled.spread, modules)
+    either, same = [
+        {r.r: r.module for r in net.merge_modules(assembled.cov, loadings, modules, signed=signed).collect()} for signed in (False, True)
+    ]
+    assert set(either.values()) == {0, 1} and set(same.values()) == {0, 1, 2}
+
+
 def test_power_is_required(analyzed):
     with pytest.raises(ValueError):
         NetworkAnalyzer().analyze(analyzed[1])
