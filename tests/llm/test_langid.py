@@ -140,3 +140,19 @@ def test_nothing_to_learn(spark):
     assert fit_languages(docs) is None
     assert {(r.lang_pred, r.score) for r in held_out_languages(docs).collect()} == {("und", 0.0)}
     assert held_out_languages(docs.limit(0)).count() == 0
+
+
+def test_all_rows_calibrate(spark, monkeypatch):
+    """Usual entropy and spread are medians over every learnable row, also where values are cut into ranges."""
+    rng = random.Random(8)
+    rows = [(i, sample(lang, rng, rng.randint(2, 12)), lang) for i, lang in enumerate(["aa", "bb"] * 1600)]
+    docs = spark.createDataFrame([*rows, (-1, "12 3", "aa"), (-2, None, "bb")], "doc_id long, text string, lang string")
+    model = fit_languages(docs)
+    for j, name in enumerate(model.langs):
+        logs, n, _ = model.totals([t for _, t, lang in rows if lang == name])
+        entropy = -logs[:, j] / n
+        assert model.usual[j] == pytest.approx(np.median(entropy), rel=1e-9)
+        assert model.spread[j] == pytest.approx(max(1e-3, np.median(np.abs(entropy - model.usual[j]) * np.sqrt(n)) * 1.4826), rel=1e-6)
+    monkeypatch.setattr("ostinato.llm.langid.GROUP_ROWS", 100)
+    again = fit_languages(docs)
+    assert again.heat == model.heat and again.usual == pytest.approx(model.usual) and again.spread == pytest.approx(model.spread)
