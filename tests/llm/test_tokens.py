@@ -46,3 +46,15 @@ def test_other_tokenizers_are_left_whole(tmp_path):
     encode = TextIds(str(tmp_path / "own.json"))
     assert encode.cut == "never"
     assert np.frombuffer(encode(["a two words b"])[0], "<u4").tolist() == tokenizer.encode("a two words b").ids
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_plain_parts_meet_the_model_alone(name):
+    path = public_tokenizers.path(name)
+    encode, calls = TextIds(path, limit=3), []
+    whole = encode._encode
+    encode._encode = lambda texts: calls.extend(texts) or whole(texts)
+    texts = ["Größe, it's  a\tnew wörd 12 ×", "new words, a new list", "", "漢 a word"]
+    for _ in range(3):
+        assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [Tokenizer.from_file(path).encode(t).ids for t in texts]
+    assert calls and not any("new" in c for c in calls)
