@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from ostinato.operators import jtk
 from ostinato.operators.jtk import (
     PERMUTATION_SEED,
     EmpiricalJTK,
@@ -297,3 +298,21 @@ def test_corrected_tail_in_a_fit():
     assert 0 < corrected["p_value"] < 1e-6 and plain["tau"] == corrected["tau"]
     with pytest.raises(ValueError):
         JTKCycle([12], exact_tail="exact")
+
+
+def test_best_pattern_reaches_without_all_amplitudes(monkeypatch):
+    rng = np.random.default_rng(3)
+    refs = patterns((6, 7, 8), 26)
+    x = np.concatenate([rng.normal(size=(300, 26)), rng.integers(0, 3, (300, 26)).astype(float), np.zeros((2, 26))])
+    scores = refs.scores(x)
+    size = np.abs(scores)
+    least = np.minimum(rng.integers(0, 90, len(x)), size.max(axis=1)).astype(float)
+    seen = np.minimum(least + rng.integers(0, 40, len(x)), size.max(axis=1))
+    pick = np.argmax(amplitudes(x, scores, size >= least[:, None], refs), axis=1)
+    want = size[np.arange(len(x)), pick] >= seen
+    taken, exact = [], jtk.hodges_lehmann_rows
+    monkeypatch.setattr(jtk, "hodges_lehmann_rows", lambda z: taken.append(len(z)) or exact(z))
+    assert jtk.reaches(x, scores, least, seen, refs).tolist() == want.tolist()
+    assert 0 < want.sum() < len(x)
+    # of all amplitudes, and a location for each period
+    assert sum(taken) < ((size >= least[:, None]).sum() + 3 * len(x)) / 2
