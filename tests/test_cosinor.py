@@ -229,3 +229,19 @@ def test_multiperiod_without_curves(spark):
     assert set(full.columns) - set(bare.columns) == {"fitted"}
     for a, b in zip(full.collect(), bare.collect(), strict=True):
         assert (a.well, a.period) == (b.well, b.period) and a.amplitude == pytest.approx(b.amplitude)
+
+
+def test_damped_series_are_searched_together(monkeypatch):
+    rng = np.random.default_rng(5)
+    times = [np.arange(30.0) + k % 2 for k in range(40)] + [np.sort(rng.uniform(0, 50, 12)) for _ in range(5)] + [np.arange(4.0)]
+    values = [rng.normal(size=len(t)) + 3 * np.exp(-0.03 * t) * np.cos(t / 3) for t in times[:-1]] + [np.ones(4)]
+    values[3], values[7] = np.full(30, 2.0), np.where(np.arange(30) == 4, np.nan, values[7])
+    model, calls = DampedCosinorDetection(20), []
+    single = [model.fit(t, y) for t, y in zip(times, values)]
+    profile = DampedCosinorDetection._profile
+    monkeypatch.setattr(DampedCosinorDetection, "_profile", lambda *a: calls.append(1) or profile(*a))
+    together = model.fit_many(times, values)
+    assert [x is None for x in together] == [x is None for x in single] and together[7] is together[-1] is None
+    for a, b in zip(together, single):
+        assert a is None or all(np.allclose(a[c], b[c], rtol=1e-6, atol=1e-9) for c in a)
+    assert len(calls) < 60  # 14 for each of 44 series if one by one
