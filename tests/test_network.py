@@ -547,3 +547,31 @@ def test_duplicate_cells_are_refused(spark):
 def test_unknown_correlation(analyzed):
     with pytest.raises(ValueError):
         correlation(analyzed[1].matrix, "pearsn")
+
+
+def test_source_is_computed_once(spark):
+    rng = np.random.default_rng(4)
+    rows = [("g", w, float(t), f, float(rng.normal())) for w in "AB" for t in range(30) for f in "xyz"]
+    seen = spark.sparkContext.accumulator(0)
+
+    def look(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    schema = "g string, well string, t double, feature string, v double"
+    feature_matrix(spark.createDataFrame(rows, schema).mapInPandas(look, schema), "g", "well", "t", "feature", "v")
+    assert seen.value == len(rows)
+
+
+def test_chunks_of_narrow_groups_are_packed_together(spark):
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(2, 3, 700))
+    v[0, 1, 100:140] = 0  # two chunks without a value of this feature ...
+    v[1, :, 200:300] = 0  # ... and five of a group without any
+    rows = [(g, r, 3, 700, k // 20, k % 20, float(v[i, r, k])) for i, g in enumerate("ab") for r in range(3) for k in range(700) if v[i, r, k]]
+    cells = spark.createDataFrame(rows, "g string, r int, nf int, n_obs long, chunk int, pos int, v double").repartition(3)
+    found = {row.g: row for row in gram(cells).collect()}
+    for i, g in enumerate("ab"):
+        assert np.allclose(np.frombuffer(found[g].mat).reshape(3, 3), v[i] @ v[i].T)
+        assert np.allclose(np.frombuffer(found[g].sum_p), v[i].sum(axis=1)) and found[g].n_obs == 700
