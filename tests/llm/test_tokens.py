@@ -9,6 +9,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
+from ostinato.llm import tokens
 from ostinato.llm.tokens import TextIds
 
 OWN = ["", " ", "  ", "a ", " a", "Hello, World!! it's", "ÀÉÎ ß ẞ İI ΣΑΣ", "groß Größe ªµº", "a\x1cb \x85c\xa0d e", "日本 語", "é ́a", "12345 3,14"]
@@ -58,3 +59,28 @@ def test_plain_parts_meet_the_model_alone(name):
     for _ in range(3):
         assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [Tokenizer.from_file(path).encode(t).ids for t in texts]
     assert calls and not any("new" in c for c in calls)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_plain_texts_are_split_in_arrays(name):
+    path = public_tokenizers.path(name)
+    encode = TextIds(path)
+    encode._split_plain = None  # no pattern, and no string for each part
+    texts = ["it's 'so, we'll  see\n", "", "'s\t's  're'vext'l 'll'", "wörd 2024 -- wörd"]
+    assert [np.frombuffer(x, "<u4").tolist() for x in encode(texts)] == [Tokenizer.from_file(path).encode(t).ids for t in texts]
+    assert [len(x) for x in encode(["", "", " "])][:2] == [0, 0] and encode([]) == []
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_parts_in_small_tables(name, monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK", 5)
+    path, rng = public_tokenizers.path(name), random.Random(11)
+    encode, library = TextIds(path, limit=20), Tokenizer.from_file(path)
+    signs = ["".join(rng.choices(a, k=rng.randint(0, 30))) for a in ("'stmdrvel \n", " \t\n'a1!", "ab 'é") for _ in range(400)]
+    words = [rng.choice(["a", "é", "7", "-", " ", "\n"]) * n for n in (1, 14, 15, 16, 17, 18, 300) for _ in range(9)]
+    texts = signs + [" ".join(rng.choices(words, k=3)) for _ in range(300)] + ["the same again"] * 50
+    rng.shuffle(texts)
+    for first in range(0, len(texts), 25):
+        got = [np.frombuffer(x, "<u4").tolist() for x in encode(texts[first : first + 25])]
+        assert got == [library.encode(t).ids for t in texts[first : first + 25]]
+        assert encode.parts.size <= 2 * 20 + 5 and np.count_nonzero(encode.parts.entry) == encode.parts.size
